@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, sharding
+from . import chat, decontaminate, exact_dedup, packing, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,8 +45,18 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_decontaminate, op3_exact_dedup, op5_sharding, op6_chat)}
+    return {f.__name__: f for f in (op2_decontaminate, op3_exact_dedup, op5_sharding, op6_chat, op10_packing)}
 
 
 _OP2 = r"""
