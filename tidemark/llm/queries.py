@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, packing, quality, sharding, toxicity
+from . import chat, decontaminate, exact_dedup, extract_html, packing, quality, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extract_html.extract(_table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return pages.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -64,7 +69,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_decontaminate, op3_exact_dedup, op5_sharding, op6_chat, op8_quality, op9_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op2_decontaminate, op3_exact_dedup, op5_sharding, op6_chat, op7_extract_html, op8_quality, op9_toxicity, op10_packing)}
 
 
 _OP2 = r"""
