@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, extract_html, packing, quality, sharding, toxicity
+from . import chat, decontaminate, exact_dedup, extract_html, near_dedup, packing, quality, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256)
@@ -69,7 +73,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_decontaminate, op3_exact_dedup, op5_sharding, op6_chat, op7_extract_html, op8_quality, op9_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_exact_dedup, op5_sharding, op6_chat, op7_extract_html, op8_quality, op9_toxicity, op10_packing)}
 
 
 _OP2 = r"""
