@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, extract_html, near_dedup, packing, quality, sharding, toxicity
+from . import chat, decontaminate, exact_dedup, extract_html, line_dedup, near_dedup, packing, quality, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents")).drop("link", "linked")
 
@@ -73,7 +77,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_exact_dedup, op5_sharding, op6_chat, op7_extract_html, op8_quality, op9_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_decontaminate, op3_exact_dedup, op4_line_dedup, op5_sharding, op6_chat, op7_extract_html, op8_quality, op9_toxicity, op10_packing)}
 
 
 _OP2 = r"""
