@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 from .labelled import held_out, sampled
 
 #: Labelled documents to learn from, at most.
-LEARN_FROM = 12_000
+LEARN_FROM = 8_000
 LANDMARKS = 256
 #: Clean units that the machine is fitted against at first.
 NEGATIVES = 20_000
-#: Units of a toxic document that are taken as its reason, at most; a unit that clean documents have needs this lift.
+#: Units of a toxic document that are taken as its reasons, at most, and the lift they need.
 WORST, LEAST_LIFT = 3, 8.0
+#: Decision value from which a unit without that lift is one.
+NEAR = -0.5
 DECAY = 0.7
 CLASSES = 64
 #: Units longer than this are scored by overlapping pieces of this length.
@@ -92,7 +94,7 @@ def maps(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     return codes, weights / norm[:, None]
 
 
-def by_length(words: list[str], block: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def by_length(words: list[str], block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(positions in words, codes, weights) in blocks of equal length."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     for n in np.unique(lengths):
@@ -104,14 +106,18 @@ def by_length(words: list[str], block: int = 4096) -> Iterator[tuple[np.ndarray,
 
 def kernels(words: list[str], landmarks: list[str]) -> np.ndarray:
     """The kernel of each word with each landmark."""
-    table = np.zeros((len(landmarks), CLASSES**3), dtype=np.float32)
-    for at, codes, weights in by_length(landmarks):
-        for row, c, w in zip(at, codes, weights, strict=True):
-            np.add.at(table[row], c, w)
-    table = np.ascontiguousarray(table.T)
+    # Only features that a landmark has get a row; row 0 is for all others.
+    parts = list(by_length(landmarks))
+    used = np.unique(np.concatenate([c.ravel() for _, c, _ in parts])) if parts else np.zeros(0, dtype=np.int64)
+    row = np.zeros(CLASSES**3, dtype=np.int32)
+    row[used] = np.arange(1, len(used) + 1)
+    table = np.zeros((len(used) + 1, len(landmarks)), dtype=np.float32)
+    for at, codes, weights in parts:
+        for mark, c, w in zip(at, codes, weights, strict=True):
+            np.add.at(table[:, mark], row[c], w)
     out = np.zeros((len(words), len(landmarks)))
     for at, codes, weights in by_length(words, 64):
-        out[at] = np.matmul(weights[:, None, :].astype(np.float32), table[codes])[:, 0]
+        out[at] = np.matmul(weights[:, None, :].astype(np.float32), table[row[codes]])[:, 0]
     return out
 
 
@@ -142,15 +148,18 @@ NOTHING = -4.0
 
 def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1.0) -> tuple[np.ndarray, float]:
     """A linear support vector machine with squared hinge loss, by Newton steps."""
-    z = np.concatenate([x, np.ones((len(x), 1))], 1)
-    w = np.zeros(z.shape[1])
-    ridge = np.eye(z.shape[1])
+    w = np.zeros(x.shape[1] + 1)
+    ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-6
     for _ in range(30):
-        slack = 1 - y * (z @ w)
-        on = slack > 0
-        zw = z[on] * (cost * weight[on])[:, None]
-        new = np.linalg.solve(ridge + zw.T @ z[on], zw.T @ y[on])
+        left, right = ridge.copy(), np.zeros(len(w))
+        for at in range(0, len(x), 2048):
+            z = np.concatenate([x[at : at + 2048], np.ones((len(x[at : at + 2048]), 1))], 1)
+            t, c = y[at : at + 2048], cost * weight[at : at + 2048]
+            c = c * (1 - t * (z @ w) > 0)
+            left += (z * c[:, None]).T @ z
+            right += z.T @ (c * t)
+        new = np.linalg.solve(left, right)
         done = np.abs(new - w).max() < 1e-6
         w = new
         if done:
@@ -173,7 +182,8 @@ def fit(texts: list[str], labels: np.ndarray, landmarks: int = LANDMARKS, rounds
     Without both labels, every document scores 0.
     """
     none = Model(np.zeros(CLASSES**3, dtype=np.float32), 0.0, 1.0, 500.0)
-    bags = {tuple(sorted({p for s in SENTENCES.split(t) for u in units(s) for p in _pieces(u)})): int(y) for t, y in zip(texts, labels, strict=True)}
+    same: dict[str, str] = {}
+    bags = {tuple(sorted({same.setdefault(p, p) for s in SENTENCES.split(t) for u in units(s) for p in _pieces(u)})): int(y) for t, y in zip(texts, labels, strict=True)}
     bags.pop((), None)
     labels = np.array(list(bags.values()))
     if not len(labels) or labels.sum() in (0, len(labels)):
@@ -184,7 +194,7 @@ def fit(texts: list[str], labels: np.ndarray, landmarks: int = LANDMARKS, rounds
     n_toxic, n_clean = int(labels.sum()), int(len(labels) - labels.sum())
     # Log odds of a unit, shrunk and times the root of its count: how surely it tells toxic documents apart.
     lift = {u: (np.log((k + 0.1) / (n_toxic + 0.2)) - np.log((clean[u] + 0.1) / (n_clean + 0.2))) * np.sqrt(k) for u, k in toxic.items()}
-    ranked = sorted(lift, key=lambda u: (-lift[u], u))[: landmarks * 8]
+    ranked = sorted(lift, key=lambda u: (-lift[u], u))[: landmarks * 2]
     near = kernels(ranked, ranked)
     chosen: list[int] = []
     for a in range(len(ranked)):
@@ -203,19 +213,23 @@ def fit(texts: list[str], labels: np.ndarray, landmarks: int = LANDMARKS, rounds
     vocabulary = sorted(set(toxic) | set(clean))
     belief = {u: lift.get(u, -9.0) for u in vocabulary}
     model = none
-    for _ in range(rounds):
-        found = Counter()
+    for turn in range(rounds):
+        # The reasons of a toxic document are units that surely tell such documents apart; one without any gives
+        # its worst unit, if the machine finds that near those.
+        positive: Counter = Counter()
         for bag, label in bags.items():
             if label:
-                found.update(sorted((u for u in bag if u not in clean or lift[u] > LEAST_LIFT), key=lambda u: (-belief[u], u))[:WORST])
-        positive = {u: k for u, k in found.items() if k > 1} or dict(found)
+                ranks = sorted(bag, key=lambda u: (-belief[u], u))
+                sure = [u for u in ranks if lift[u] > LEAST_LIFT][:WORST]
+                positive.update(sure or [u for u in ranks[:1] if turn and u not in clean and belief[u] > NEAR])
+        positive = positive or Counter(max(bag, key=lambda u: (lift[u], u)) for bag, label in bags.items() if label)
         if not positive:
             return none
         rows = [*sorted(positive), *sorted(negative - positive.keys())]
         y = np.where(np.arange(len(rows)) < len(positive), 1.0, -1.0)
         weight = np.array([min(30.0, positive[u]) if u in positive else min(10.0, clean[u]) for u in rows])
         weight[y > 0] *= weight[y < 0].sum() / weight[y > 0].sum() / 4
-        w, bias = machine(kernels(rows, marks) @ root, y, weight)
+        w, bias = machine(np.concatenate([(kernels(rows[at : at + 2048], marks) @ root).astype(np.float32) for at in range(0, len(rows), 2048)]), y, weight)
         model = Model(table_of(marks, root @ w), bias, 1.0, 0.0)
         decided = model.decide(vocabulary)
         belief = dict(zip(vocabulary, decided.tolist(), strict=True))
