@@ -68,22 +68,24 @@ def paths(nodes: DataFrame, best: int | None = 1) -> DataFrame:
     known = ids.select(F.col("tree").alias("t"), F.col("node").alias("p"))
     at = ids.join(known, same("tree", "t") & (F.col("parent") == F.col("p")), "left").select("tree", "node", F.col("p").alias("up"), "score", F.lit(1).cast("long").alias("far"))
     at = written(at, "jump")
-    jumps = [at]
-    # up: the ancestor 2^k above, or null; score and far: summed over the nodes below it.
-    while not at.filter("up is not null").isEmpty():
-        above = at.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("far").alias("far2"))
-        joined = at.join(above, same("tree", "t") & (F.col("up") == F.col("n")), "left")
-        at = written(joined.select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far")), "jump")
-        jumps.append(at)
+    # up: the ancestor 2^k above; score and far: summed over the nodes below it. Nodes that reach their root are
+    # done and leave the joins.
+    done, live, jumps = at.filter("up is null"), at.filter("up is not null"), []
+    while not live.isEmpty():
+        jumps.append(live)
+        above = done.unionByName(live).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("far").alias("far2"))
+        joined = live.join(above, same("tree", "t") & (F.col("up") == F.col("n")))
+        at = written(joined.select("tree", "node", F.col("up2").alias("up"), (F.col("score") + F.col("score2")).alias("score"), (F.col("far") + F.col("far2")).alias("far")), "jump")
+        done, live = done.unionByName(at.filter("up is null")), at.filter("up is not null")
     inner = ids.select(F.col("tree").alias("t"), F.col("parent").alias("p")).filter("p is not null").distinct()
-    leaves = at.join(inner, same("tree", "t") & (F.col("node") == F.col("p")), "left_anti").select("tree", F.col("node").alias("leaf"), "score", F.col("far").alias("depth"))
+    leaves = done.join(inner, same("tree", "t") & (F.col("node") == F.col("p")), "left_anti").select("tree", F.col("node").alias("leaf"), "score", F.col("far").alias("depth"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
     leaves = leaves.withColumn("rank", rank)
     if best is not None:
         leaves = leaves.filter(F.col("rank") <= best)
     got = leaves.withColumn("node", F.col("leaf"))
-    for k in reversed(range(len(jumps) - 1)):
-        jump = jumps[k].filter("up is not null").select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("next"))
+    for k in reversed(range(len(jumps))):
+        jump = jumps[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("next"))
         more = got.join(jump, same("tree", "t") & (F.col("node") == F.col("n"))).select("tree", "leaf", "score", (F.col("depth") - (1 << k)).alias("depth"), "rank", F.col("next").alias("node"))
         got = written(got.select("tree", "leaf", "score", "depth", "rank", "node").unionByName(more), "paths")
     return got.select("tree", "leaf", "rank", "score", "node", "depth")
