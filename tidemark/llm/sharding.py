@@ -16,7 +16,9 @@ from pyspark.sql.window import Window
 
 from .common import P, bucket, written
 
-ROUNDS = 4
+ROUNDS = 6
+#: Of the rows that want to leave a shard, the share whose room is given away in the same round.
+LEAVING = 0.8
 #: A shard may hold so many times its even share while labels move.
 SLACK = 1.02
 #: Runs into which the rows of a shard are split to rank them in parallel.
@@ -26,18 +28,20 @@ RUNS = 64
 def propagate(cells: DataFrame, free: DataFrame, shards: int, total: int, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
     """cells (link, start, n, shard) with the shard after the rounds. free: (shard, rows) that never move.
 
-    Cells of a link move to the shard that holds most of its rows (of equals, the lowest shard), but only as many
-    into a shard as its quota has room for: slack times the even share, less what it holds.
+    Cells of a link move to the shard that holds most of its rows (of equals, one by hash, so that no shard draws more), but only as many
+    into a shard as its quota has room for: slack times the even share, less what it holds and will not lose.
     """
     quota = total / shards * slack
     for k in range(rounds):
         held = cells.groupBy("link", "shard").agg(F.sum("n").alias("n"))
-        best = held.groupBy("link").agg(F.max(F.struct(F.col("n"), -F.col("shard"))).alias("best")).select("link", (-F.col("best.col2")).alias("to"))
+        best = held.groupBy("link").agg(F.max(F.struct("n", F.xxhash64("link", "shard").alias("draw"), "shard")).alias("best")).select("link", F.col("best.shard").alias("to"))
         moves = written(cells.join(best, "link"), "moves")
         loads = moves.groupBy("shard").agg(F.sum("n").alias("linked")).join(free, "shard", "full").select("shard", (F.coalesce("linked", F.lit(0)) + F.coalesce("rows", F.lit(0))).alias("load"))
         inflow = moves.filter("to != shard").groupBy("to").agg(F.sum("n").alias("inflow"))
-        # One row for each shard.
-        admit = inflow.join(loads.withColumnRenamed("shard", "to"), "to", "left").select("to", F.greatest(F.lit(0.0), (quota - F.coalesce("load", F.lit(0))) / F.col("inflow")).alias("share"))
+        outflow = moves.filter("to != shard").groupBy(F.col("shard").alias("to")).agg(F.sum("n").alias("outflow"))
+        # One row for each shard. What wants to leave a shard makes room in it, but not all of it will go.
+        room = quota - F.coalesce("load", F.lit(0)) + LEAVING * F.coalesce("outflow", F.lit(0))
+        admit = inflow.join(loads.withColumnRenamed("shard", "to"), "to", "left").join(outflow, "to", "left").select("to", F.greatest(F.lit(0.0), room / F.col("inflow")).alias("share"))
         draw = F.pmod(F.xxhash64("link", F.lit(k)), F.lit(1 << 20)) / float(1 << 20)
         # A link larger than a shard cannot move whole; its cells draw one by one.
         alone = F.pmod(F.xxhash64("link", "start", F.lit(k)), F.lit(1 << 20)) / float(1 << 20)
