@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import P, written
 from .similar import Filter, components, join_heavy, may_hold, pairs_of, untested
 
 WORDS = 5
@@ -221,3 +221,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", le
     told = written(told.select("sha", "size", "class_size", F.col("best.first").alias("class_id"), F.col("best.id").alias("stays")), "told")
     done = join_heavy(rows.select("sha", "doc_id", "row"), told, "sha", "size", rows.count())
     return done.select("doc_id", "class_id", "class_size", (F.col("row") == F.col("stays")).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = LEAST) -> DataFrame:
+    """The rows of docs, all columns, that stay; see near_duplicates()."""
+    own = f"{P}key"
+    rows, _, different = docs.agg(F.count("*"), F.count(key), F.count_distinct(key)).first()
+    if rows == different:
+        base = docs.withColumn(own, F.col(key))
+    else:  # the key doesn't tell rows apart
+        base = written(docs.withColumn(own, F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"))), "docs")
+    gone = near_duplicates(base, text, own, least).filter("NOT kept").select(F.col("doc_id").alias(own))
+    return base.join(written(gone, "gone"), own, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -139,6 +139,8 @@ class Model:
         return (np.maximum.reduceat(values, starts) if len(flat) else values) + self.bias
 
     def score(self, worst: np.ndarray) -> np.ndarray:
+        if np.isinf(self.shift):  # nothing was learned
+            return np.zeros(len(worst))
         return 1 / (1 + np.exp(-np.clip(self.slope * (worst - self.shift), -500, 500)))
 
 
@@ -181,7 +183,7 @@ def fit(texts: list[str], labels: np.ndarray, landmarks: int = LANDMARKS, rounds
 
     Without both labels, every document scores 0.
     """
-    none = Model(np.zeros(CLASSES**3, dtype=np.float32), 0.0, 1.0, 500.0)
+    none = Model(np.zeros(CLASSES**3, dtype=np.float32), 0.0, 1.0, np.inf)
     same: dict[str, str] = {}
     bags = {tuple(sorted({same.setdefault(p, p) for s in SENTENCES.split(t) for u in units(s) for p in _pieces(u)})): int(y) for t, y in zip(texts, labels, strict=True)}
     bags.pop((), None)
