@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tidemark.plans import embeddings, signals, stars, texts
 
-QUERIES: dict[str, Callable] = {}
-SQL: dict[str, str] = {}
+_MODULES = (signals, embeddings, texts, stars)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
