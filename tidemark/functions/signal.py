@@ -51,7 +51,7 @@ def relative_energy(energy: Column, reference: Column, floor: float = ENERGY_FLO
     """Decibels between a reference, 0, and full scale, 1; cut to that range. No energy is 0."""
     low = 20 * F.log10(F.greatest(reference, F.lit(floor)))
     db = 20 * F.log10(F.when(energy > 0, energy))
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(db - low, -low))), F.lit(0.0))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(db - low, -low), F.lit(0.0))))
 
 
 def sigmoid(x: Column) -> Column:

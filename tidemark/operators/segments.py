@@ -56,7 +56,7 @@ def word_cues(segments: DataFrame, by: list[str], order: str, words: str = "word
     """One row for each word of a segment that has words, else one for the segment: (by, order, at, start, end, text)."""
     own = F.when(F.size(words) > 0, F.transform(words, lambda w: F.struct(w["start"].cast("double").alias("start"), w["end"].cast("double").alias("end"), w["word"].alias("text"))))
     whole = F.array(F.struct(F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), F.col("text").alias("text")))
-    return segments.select(*by, order, F.posexplode(F.coalesce(own, whole)).alias("at", "c")).select(*by, order, "at", "c.*")
+    return segments.select(*by, order, F.posexplode(F.coalesce(own, whole)).alias("at", "__cue")).select(*by, order, "at", "__cue.start", "__cue.end", "__cue.text")
 
 
 def marked_segments(tokens: DataFrame, by: list[str], at: str, token: str, first_mark: int, step: float = TIME_STEP) -> DataFrame:

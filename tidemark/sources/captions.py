@@ -8,8 +8,12 @@ from pyspark.sql.window import Window
 
 
 def write_texts(contents: DataFrame, name: str, content: str, path: str, extension: str) -> None:
-    """Each row's content as one text file <path>/stem=<name>/part-*.<extension>; Spark's committer makes it whole or not at all."""
-    contents.select(F.col(name).cast("string").alias("stem"), F.col(content).alias("value")).write.mode("overwrite").partitionBy("stem").option("lineSep", "").option("extension", extension).text(path)
+    """Each row's content, which ends with a line end, as one text file in <path>/file=<name>.<extension>.
+
+    Spark's committer makes the folder whole or not at all.
+    """
+    body = F.regexp_replace(content, r"\n\z", "")
+    contents.select(F.concat(F.col(name).cast("string"), F.lit(f".{extension}")).alias("file"), body.alias("value")).write.mode("overwrite").partitionBy("file").text(path)
 
 
 def write_json(results: DataFrame, path: str) -> None:

@@ -13,9 +13,11 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.window import Window
 
+from tidemark.streaming.state import ends, keep
+
 #: Segments that stay open, hypotheses that must agree.
 OPEN, AGREE = 2, 2
 
@@ -26,7 +28,7 @@ def confirmed(df: DataFrame, by: list[str], order: list[str], keep_open: int = O
     return df.withColumn("confirmed", left > keep_open)
 
 
-def confirm_stream(df: DataFrame, key: str, at: str, text: str, keep_open: int = OPEN, ttl_ms: int = 3_600_000) -> DataFrame:
+def confirm_stream(df: DataFrame, key: str, at: str, text: str, keep_open: int = OPEN, ttl_ms: int | None = 3_600_000) -> DataFrame:
     """(key, at, text): segments once `keep_open` later ones of their key have come; the rest when the key expires.
 
     A segment that comes again at the same place replaces the open one; one before the confirmed mark is late and
@@ -47,12 +49,12 @@ def confirm_stream(df: DataFrame, key: str, at: str, text: str, keep_open: int =
         order = sorted(rows)
         done, left = (order[:-keep_open], order[-keep_open:]) if keep_open else (order, [])
         state.update((done[-1] if done else mark, left, [rows[a] for a in left]))
-        state.setTimeoutDuration(ttl_ms)
+        keep(state, ttl_ms)
         yield pd.DataFrame([(k[0], a, rows[a]) for a in done], columns=["key", "at", "text"])
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(key, F.col(at).cast("double").alias(at), text)
-    return rows.groupBy(key).applyInPandasWithState(of, f"key {kind}, at double, text string", "mark double, ats array<double>, texts array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy(key).applyInPandasWithState(of, f"key {kind}, at double, text string", "mark double, ats array<double>, texts array<string>", "append", ends(ttl_ms))
 
 
 def same_word(a: str, b: str) -> bool:
@@ -115,7 +117,7 @@ def agreed(df: DataFrame, key: str, order: str, words: str, agree: int = AGREE)
     return df.select(key, order, words).groupBy(key).applyInPandas(of, f"key {kind}, n int, word string, start double, confirmed boolean")
 
 
-def agree_stream(df: DataFrame, key: str, order: str, words: str, agree: int = AGREE, ttl_ms: int = 3_600_000) -> DataFrame:
+def agree_stream(df: DataFrame, key: str, order: str, words: str, agree: int = AGREE, ttl_ms: int | None = 3_600_000) -> DataFrame:
     """(key, word, start): words as they are confirmed; what is left when the key expires."""
     import json
 
@@ -133,11 +135,11 @@ def agree_stream(df: DataFrame, key: str, order: str, words: str, agree: int = A
                 out += a.push([(w["word"], float(w["start"])) for w in h])
             # Of the confirmed words, those at the mark are all that later ones are held against.
             state.update((json.dumps([a.mark, a.history, [d for d in a.done if d[1] >= a.mark] or a.done[-1:]]),))
-            state.setTimeoutDuration(ttl_ms)
+            keep(state, ttl_ms)
         yield pd.DataFrame([(k[0], w, s) for w, s in out], columns=["key", "word", "start"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, order, words).groupBy(key).applyInPandasWithState(of, f"key {kind}, word string, start double", "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return df.select(key, order, words).groupBy(key).applyInPandasWithState(of, f"key {kind}, word string, start double", "state string", "append", ends(ttl_ms))
 
 
 def contains_run(have: list, run: list) -> bool:

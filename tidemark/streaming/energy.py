@@ -8,7 +8,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupState
+
+from tidemark.streaming.state import ends, keep
 
 FRAME, BACK, FLOOR = 1_600, 20, 1e-8
 
@@ -38,7 +40,7 @@ class Tracker:
         return out
 
 
-def energy_stream(df: DataFrame, key: str, order: str, value: str, frame: int = FRAME, back: int = BACK, ttl_ms: int = 3_600_000) -> DataFrame:
+def energy_stream(df: DataFrame, key: str, order: str, value: str, frame: int = FRAME, back: int = BACK, ttl_ms: int | None = 3_600_000) -> DataFrame:
     """(key, frame, rms, relative) of full frames. State: less than a frame of samples and `back` energies."""
 
     def of(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -51,9 +53,9 @@ def energy_stream(df: DataFrame, key: str, order: str, value: str, frame: int =
         rows = pd.concat(list(batches)).sort_values(order)
         out = t.push(rows[value].astype(float).tolist())
         state.update((t.count, t.rest, t.last))
-        state.setTimeoutDuration(ttl_ms)
+        keep(state, ttl_ms)
         yield pd.DataFrame([(k[0], *x) for x in out], columns=["key", "frame", "rms", "relative"])
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(key, order, F.col(value).cast("double").alias(value))
-    return rows.groupBy(key).applyInPandasWithState(of, f"key {kind}, frame int, rms double, relative double", "count int, rest array<double>, last array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy(key).applyInPandasWithState(of, f"key {kind}, frame int, rms double, relative double", "count int, rest array<double>, last array<double>", "append", ends(ttl_ms))
