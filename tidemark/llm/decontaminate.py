@@ -14,7 +14,7 @@ from .common import P, written
 
 WINDOW = 10
 #: Windows of the benchmark up to which their set is broadcast; about 150 bytes each.
-LARGEST_SET = 1_000_000
+LARGEST_SET = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Everything that is no word character, before lower-casing.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -62,12 +62,19 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str
     """
     windows = written(benchmark_windows(benchmark, window), "windows")
     sizes = [r[0] for r in windows.select(f"{P}len").distinct().collect()]  # at most `window` numbers
-    hashed = windows if windows.count() > largest_set else F.broadcast(windows)
     rows = docs.select(F.col(key).alias(key), F.monotonically_increasing_id().alias(f"{P}row"), words(F.col(text)).alias(f"{P}w"))
     rows = rows.withColumn(f"{P}low", _lowered(F.col(f"{P}w")))
-    found = [_hashes(F.size(f"{P}w"), F.col(f"{P}low"), n) for n in sorted(sizes)]
+    found = F.concat(F.array().cast("array<struct<at:int,len:int,hash:bigint>>"), *[_hashes(F.size(f"{P}w"), F.col(f"{P}low"), n) for n in sorted(sizes)])
+    if windows.count() > largest_set:
+        # Hashes alone are joined; only rows with a hit get their windows and words back.
+        rows, hashed = written(rows, "rows"), windows
+        flat = rows.select(f"{P}row", F.explode(found).alias(f"{P}x")).select(f"{P}row", f"{P}x", F.col(f"{P}x.len").alias(f"{P}len"), F.col(f"{P}x.hash").alias(f"{P}hash"))
+        own = flat.join(windows.select(f"{P}len", f"{P}hash").distinct(), [f"{P}len", f"{P}hash"]).groupBy(f"{P}row").agg(F.collect_list(f"{P}x").alias(f"{P}found"))
+        rows, found = rows.join(own, f"{P}row", "left"), F.coalesce(F.col(f"{P}found"), F.array().cast("array<struct<at:int,len:int,hash:bigint>>"))
+    else:
+        hashed = F.broadcast(windows)
     none = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("len"), F.lit(0).cast("long").alias("hash")))
-    every = rows.select(key, f"{P}row", f"{P}w", F.size(f"{P}w").cast("long").alias("n_words"), F.explode(F.concat(none, *found)).alias(f"{P}x"))
+    every = rows.select(key, f"{P}row", f"{P}w", F.size(f"{P}w").cast("long").alias("n_words"), F.explode(F.concat(none, found)).alias(f"{P}x"))
     every = every.select(key, f"{P}row", f"{P}w", "n_words", F.col(f"{P}x.at").alias(f"{P}at"), F.col(f"{P}x.len").alias(f"{P}len"), F.col(f"{P}x.hash").alias(f"{P}hash"))
     hits = every.join(hashed, [f"{P}len", f"{P}hash"], "left")
     hits = hits.filter((F.col(f"{P}at") == 0) | (F.col(f"{P}text").isNotNull() & (_exact(F.expr(f"slice({P}w, {P}at, {P}len)")) == F.col(f"{P}text"))))
