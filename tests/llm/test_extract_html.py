@@ -25,6 +25,9 @@ def test_odd_markup():
     assert text("<article>a</b></i></article>b") == "a"
     assert text("<table><tr><td>1<td>2<tr><td>3</table>") == "1\n\n2\n\n3"
     assert text("<article>cut &am") == "cut &am"
+    assert text("<html class='has-sidebar'><div class='with-sidebar'><article>a</article><div id=comments><article>c</article></div></div>") == "a\n\nc"
+    assert text("<p>a</p><div id='comments'><article>c</article></div><article>b</article>") == "b"
+    assert text("<div class='sidebar-layout'><p>x</p><nav>n</nav></div>") == "x"
 
 
 def test_templates_go_but_articles_stay(spark):

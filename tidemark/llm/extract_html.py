@@ -64,7 +64,7 @@ class _Element:
 def _boilerplate(tag: str, attributes: str) -> bool:
     if tag in _GONE:
         return True
-    if not attributes or tag in _ROOTS or tag == "body":
+    if not attributes or tag in _ROOTS or tag in ("body", "html"):
         return False
     for m in _NAMES.finditer(attributes):
         if not m[1]:
@@ -162,8 +162,15 @@ def main_text(top: _Element, template: set[int] | None = None) -> str:
         for h, elements in subtree_hashes(top).items():
             if h in template and not any(_has_main(e) for e in elements):
                 for e in elements:
-                    e.gone = True
-    roots = _roots(top, "article") or _roots(top, "main") or [top]
+                    e.parts = []
+    roots = _roots(top, "article") or _roots(top, "main") or _roots(top, "article", True) or _roots(top, "main", True) or [top]
+    blocks = _blocks(roots, False)
+    # A page that is boilerplate by the names of its outer elements alone is read by its tags.
+    return "\n\n".join(blocks or _blocks(roots, True))
+
+
+def _blocks(roots: list[_Element], by_tag: bool) -> list[str]:
+    """The texts of the blocks of the elements, without boilerplate; by_tag: names don't count."""
     blocks: list[str] = []
     for root in roots:
         run: list[str] = []
@@ -180,7 +187,7 @@ def main_text(top: _Element, template: set[int] | None = None) -> str:
                 run.append(e)
             elif e is None:
                 end()
-            elif e.gone:
+            elif e.tag in _GONE if by_tag else e.gone and e is not root:
                 if e.tag in _BLOCK:
                     end()
             elif e.tag == "br":
@@ -191,7 +198,7 @@ def main_text(top: _Element, template: set[int] | None = None) -> str:
                     walk.append(None)
                 walk.extend(reversed(e.parts))
         end()
-    return "\n\n".join(blocks)
+    return blocks
 
 
 def _has_main(e: _Element) -> bool:
@@ -204,14 +211,14 @@ def _has_main(e: _Element) -> bool:
     return False
 
 
-def _roots(top: _Element, tag: str) -> list[_Element]:
-    """The outermost elements of a tag, in page order, outside boilerplate."""
+def _roots(top: _Element, tag: str, by_tag: bool = False) -> list[_Element]:
+    """The outermost elements of a tag, in page order, outside boilerplate; by_tag: names don't count."""
     found, walk = [], [top]
     while walk:
         e = walk.pop()
         if e.tag == tag:
             found.append(e)
-        elif not e.gone:
+        elif not (e.tag in _GONE if by_tag else e.gone):
             walk += [p for p in reversed(e.parts) if isinstance(p, _Element)]
     return found
 
