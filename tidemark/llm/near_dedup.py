@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import P, written
-from .similar import Filter, components, join_heavy, may_hold, pairs_of, untested
+from .similar import Filter, bit_sets, join_heavy, linked_parts, may_hold
 
 WORDS = 5
 LEAST = 0.8
@@ -149,10 +149,8 @@ def sketched(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(of, schema)
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, key: str, least: float) -> DataFrame:
-    """Of the pairs (a, b) of class ids, written: those whose shingle sets have a Jaccard similarity of `least`."""
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(classes.select("id", "own"), "id")
-    wanted = written(wanted, "wanted")
+def bodies_of(wanted: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(id, body), written, of the wanted (id, own): the words of a class, from the row that has its first key."""
     held = docs.sparkSession.sparkContext.broadcast(Filter(wanted, "own").array())
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,25 +164,44 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, k
 
     found = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(bodies, "own long, body string")
     # Rows that repeat both text and key are one text here.
-    found = written(found.join(wanted, "own").groupBy("id").agg(F.first("body").alias("body")), "bodies")
-    shown = pairs.join(found.select(F.col("id").alias("b"), F.col("body").alias("text_b")), "b")
-    shown = shown.join(found.select(F.col("id").alias("a"), F.col("body").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    return written(found.join(wanted, "own").groupBy("id").agg(F.first("body").alias("body")), "bodies")
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def compared(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
+    """Of the pairs (a, b), written: those whose shingle sets have a Jaccard similarity of `least`."""
+    shown = pairs.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("text_b")), "b")
+    shown = shown.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         last, known = None, None
         for batch in batches:
-            a, b, share = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            a, on = batch.column(0).to_pylist(), []
             for k in range(len(a)):
                 if a[k] != last:
                     last, known = a[k], np.unique(shingles([batch.column(2)[k].as_py().split(" ")], hashes)[1])
                 other = np.unique(shingles([batch.column(3)[k].as_py().split(" ")], hashes)[1])
-                both = len(np.intersect1d(known, other, assume_unique=True))
-                share.append(both / max(1, len(known) + len(other) - both))
-            on = np.array(share) >= least
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(on)), batch.column(1).filter(pa.array(on)), pa.array(np.array(share)[on], pa.float64())], ["a", "b", "jaccard"])
+                both = len(np.intersect1d(known, other, assume_unique=True)) if min(len(known), len(other)) >= least * max(len(known), len(other)) else 0
+                on.append(both >= least * (len(known) + len(other) - both))
+            mask = pa.array(on, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+
+    return written(shown.mapInArrow(of, "a long, b long"), "verified")
 
-    return written(shown.mapInArrow(compared, "a long, b long, jaccard double"), "verified")
+
+def profiles(bodies: DataFrame) -> DataFrame:
+    """(id, n, bits) of each body, see similar.bit_sets()."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            texts = [x.as_py().split(" ") for x in batch.column(1)]
+            for a, b in chunks(texts):
+                owner, h, _ = distinct(*shingles(texts[a:b], hashes))
+                n, bits = bit_sets(owner, h, b - a)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(list(bits), pa.list_(pa.int64()))], ["id", "n", "bits"])
+
+    return bodies.select("id", "body").mapInArrow(of, "id long, n long, bits array<long>")
 
 
 def classes_of(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -208,12 +225,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", le
     """
     rows, classes = classes_of(docs, text, key)
     keyed = classes.select("id", F.explode("keys").alias("key"))
-    pairs, members = pairs_of(keyed)
-    links = verified(pairs, classes, docs, text, key, least).select("a", "b")
-    parts = components(links)
-    more = untested(members, parts)
-    links = written(links.unionByName(verified(more, classes, docs, text, key, least).select("a", "b")), "links")
-    parts = components(links)
+    own = written(classes.select("id", "own"), "own")
+    kept: list[DataFrame] = []
+
+    def bodies(ids: DataFrame) -> DataFrame:
+        return bodies_of(written(ids.join(own, "id"), "wanted"), docs, text, key)
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        if not kept:  # the ids of later pairs are among those of the first
+            kept.append(bodies(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()))
+        return compared(pairs, kept[0], least)
+
+    parts = linked_parts(keyed, verify, lambda ids: profiles(kept[0].join(ids, "id", "left_semi")), least)
     named = written(classes.select("id", "sha", "size", "first").join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")), "named")
     best = F.struct(F.col("first").isNull().alias("none"), F.col("first"), F.col("id"))
     whole = written(named.groupBy("part").agg(F.min(best).alias("best"), F.sum("size").alias("class_size"), F.count("*").alias("n")), "whole")

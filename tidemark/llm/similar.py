@@ -3,16 +3,24 @@ and distributed union-find."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import add
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, bit, written
+from .common import P, bit, bucket, written
 
 #: Most bits of a filter: 8 MB where it is broadcast.
 MOST_BITS = 1 << 26
 #: A key with at least a HEAVY-th of all rows is heavy; so there are at most HEAVY heavy keys.
 HEAVY = 1000
+#: Ids of a key's largest component that all others of the key are compared with.
+PIVOTS = 4
+#: Bits of a text's shingles, for ruling pairs out.
+BITS = 2048
 
 
 class Filter:
@@ -65,31 +73,85 @@ def join_heavy(rows: DataFrame, table: DataFrame, on: str, size: str, total: int
 def pairs_of(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pairs, members) of (key, id) rows.
 
-    members, written: (key, id, low, size) of keys with several ids; low is the least id of the key. pairs,
-    written: the distinct (low, id), so a key with n ids gives n - 1 pairs.
+    members, written: (key, id, low, size) of keys with more than two rows; low is the least id of the key.
+    pairs, written: the distinct (low, id) of all keys, so a key with n ids gives n - 1 pairs.
     """
     buckets = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size"))
-    buckets = written(buckets.filter("low < high").select("key", "low", "size"), "buckets")
-    some = written(Filter(buckets, "key").passed(keyed, "key"), "members")
-    members = written(join_heavy(some, buckets, "key", "size", some.count()), "members")
-    return written(members.filter("id != low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), "pairs"), members
+    buckets = written(buckets.filter("low < high"), "buckets")
+    # A key of two rows is known by now; only the rows of larger ones are looked for again.
+    large = written(buckets.filter("size > 2").select("key", "low", "size"), "large")
+    some = written(Filter(large, "key").passed(keyed, "key"), "some")
+    members = written(join_heavy(some, large, "key", "size", some.count()), "members")
+    two = buckets.filter("size = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
+    return written(two.unionByName(members.filter("id != low").select(F.col("low").alias("a"), F.col("id").alias("b"))).distinct(), "pairs"), members
+
+
+def bit_sets(owner: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n, bits): how many distinct shingles each row has, and a set of BITS bits of their hashes."""
+    place = (h >> np.uint64(20)) % np.uint64(BITS)
+    bits = np.zeros(rows * (BITS // 64), dtype=np.uint64)
+    np.bitwise_or.at(bits, owner * (BITS // 64) + (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return np.bincount(owner, minlength=rows), bits.view(np.int64).reshape(rows, -1)
+
+
+def _likely(least: float) -> Column:
+    """Whether (n, bits) and (n2, bits2) can be similar.
+
+    A bit that one has and the other lacks is at least one shingle outside the intersection. So the intersection is
+    at most n - |bits without bits2|, and the other way round; it must be least / (1 + least) of n + n2.
+    """
+    count = lambda x, y: reduce(add, [F.bit_count(F.get(x, F.lit(k)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(k))))) for k in range(BITS // 64)])
+    room = F.least(F.col("n") - count("bits", "bits2"), F.col("n2") - count("bits2", "bits"))
+    return room >= least / (1 + least) * (F.col("n") + F.col("n2")) - 1e-9
+
+
+def _split(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, id, low, part, main, rows), written, of the keys that are not one component; main: a key's largest."""
+    named = written(members.select("key", "id", "low").distinct().join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")), "named")
+    held = named.groupBy("key", "part").agg(F.count("*").alias("c")).groupBy("key")
+    held = held.agg(F.max_by("part", F.struct("c", -F.col("part"))).alias("main"), F.count("*").alias("parts"), F.sum("c").alias("rows"))
+    held = written(held.filter("parts > 1").select("key", "main", "rows"), "held")
+    return written(join_heavy(named, held, "key", "rows", named.count()), "split")
+
 
+def linked_parts(keyed: DataFrame, verify: Callable[[DataFrame], DataFrame], profiles: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
+    """(id, part) of the ids that are linked, from (key, id) rows; no link within a key is lost.
 
-def untested(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of one key that are in different components and that pairs_of() left out, written.
+    verify gives, of pairs (a, b), those of a similarity of `least`; profiles gives (id, n, bits) for (id), see
+    bit_sets().
 
-    parts: (id, part) of ids in components. Most keys are one component by now and give nothing; what is left is
-    compared in full, so no link between different texts is lost.
+    Each key's ids are compared with its least id. In keys that are not one component then, what is outside the
+    largest one is compared with PIVOTS of its ids, those that share most keys with others and so are most alike
+    to all. What is still apart is compared in full, but for pairs whose bits show that they cannot be similar.
     """
-    named = members.join(parts, "id", "left").select("key", "id", "low", F.coalesce("part", "id").alias("part"))
-    named = written(named, "named")
-    split = named.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min("low").alias("l"), F.max("id").alias("h"), F.count_distinct("id").alias("n"))
-    split = written(split.filter("p < q AND n > 2").select("key"), "split")
-    left = written(named.join(split, "key"), "left")
-    x = left.select("key", F.col("id").alias("a"), F.col("part").alias("pa"), "low")
-    y = left.select("key", F.col("id").alias("b"), F.col("part").alias("pb"))
-    both = x.join(y, "key").filter("pa < pb AND a != low AND b != low")
-    return written(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "untested")
+    pairs, members = pairs_of(keyed)
+    links = verify(pairs)
+    parts = components(links)
+    split = _split(members, parts)
+    if split.isEmpty():
+        return parts
+    weight = written(split.groupBy("id").agg(F.sum("rows").alias("w")), "weight")
+    inner = split.filter("part = main").join(weight, "id")
+    order = F.struct("w", -F.col("id"))
+    pivots = inner.groupBy("key").agg(*[F.max_by("id", F.when(bucket(PIVOTS, F.col("id")) == k, order)).alias(f"p{k}") for k in range(PIVOTS)], F.first("rows").alias("size"))
+    pivots = written(pivots.select("key", "size", F.array_compact(F.array(*[f"p{k}" for k in range(PIVOTS)])).alias("pivots")), "pivots")
+    outer = split.filter("part != main").select("key", "id")
+    second = join_heavy(outer, pivots, "key", "size", split.count()).select("id", F.explode("pivots").alias("pivot"))
+    second = written(second.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "second")
+    links = written(links.unionByName(verify(second)), "links")
+    parts = components(links)
+    split = _split(members, parts)
+    if split.isEmpty():
+        return parts
+    known = written(profiles(written(split.select("id").distinct(), "ids")), "profiles")
+    x = split.filter("part != main").select("key", "id", "part", "low").join(known, "id")
+    y = split.select("key", F.col("id").alias("other"), F.col("part").alias("part2")).join(known.select(F.col("id").alias("other"), F.col("n").alias("n2"), F.col("bits").alias("bits2")), "other")
+    rest = x.join(y, "key").filter("part != part2 AND id != low AND other != low").filter(_likely(least))
+    rest = rest.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    rest = written(rest.join(second.unionByName(pairs), ["a", "b"], "left_anti"), "rest")
+    if rest.isEmpty():
+        return parts
+    return components(written(links.unionByName(verify(rest)), "links"))
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
