@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import P, written
-from .near_dedup import mixed
-from .similar import Filter, components, join_heavy, may_hold, pairs_of, untested
+from .near_dedup import distinct, mixed
+from .similar import Filter, bit_sets, join_heavy, linked_parts, may_hold
 
 #: Characters of a shingle.
 SHINGLE = 8
@@ -145,9 +145,8 @@ def sketched(rows: DataFrame) -> DataFrame:
     return rows.select("row", "doc_id", "text").mapInArrow(of, schema)
 
 
-def verified(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
-    """Of the pairs (a, b) of line ids, written: those whose shingle sets have a Jaccard similarity of `least`."""
-    wanted = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
+def bodies_of(wanted: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, body), written: the normalised lines of the wanted ids."""
     held = rows.sparkSession.sparkContext.broadcast(Filter(wanted, "id").array())
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,18 +155,25 @@ def verified(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
             for at in range(0, batch.num_rows, 200):
                 lines = [normalised(x) for text in batch.column(0).slice(at, 200) for x in (text.as_py() or "").split("\n")]
                 ids = np.array(line_ids(lines), dtype=np.int64)
-                on = [k for k in np.flatnonzero((ids != 0) & may_hold(held.value, ids)).tolist() if ids[k] not in known]
+                on = []
+                for k in np.flatnonzero((ids != 0) & may_hold(held.value, ids)).tolist():
+                    if int(ids[k]) not in known:
+                        known.add(int(ids[k]))
+                        on.append(k)
                 if len(known) > 500_000:
                     known.clear()
-                known.update(ids[on].tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array([lines[k] for k in on], pa.string())], ["id", "body"])
 
     found = rows.select("text").mapInArrow(bodies, "id long, body string")
-    found = written(found.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("body").alias("body")), "bodies")
-    shown = pairs.join(found.select(F.col("id").alias("b"), F.col("body").alias("text_b")), "b")
-    shown = shown.join(found.select(F.col("id").alias("a"), F.col("body").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    return written(found.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("body").alias("body")), "bodies")
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def compared(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
+    """Of the pairs (a, b), written: those whose shingle sets have a Jaccard similarity of `least`."""
+    shown = pairs.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("text_b")), "b")
+    shown = shown.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, None
         for batch in batches:
             a, on = batch.column(0).to_pylist(), []
@@ -180,22 +186,40 @@ def verified(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
             mask = pa.array(on, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    return written(shown.mapInArrow(compared, "a long, b long"), "verified")
+    return written(shown.mapInArrow(of, "a long, b long"), "verified")
+
+
+def profiles(bodies: DataFrame) -> DataFrame:
+    """(id, n, bits) of each body, see similar.bit_sets()."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines, at = batch.column(1).to_pylist(), 0
+            for block in _blocks(lines):
+                owner, h, _ = distinct(*shingles(block))
+                n, bits = bit_sets(owner, h, len(block))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(block)), pa.array(n), pa.array(list(bits), pa.list_(pa.int64()))], ["id", "n", "bits"])
+                at += len(block)
+
+    return bodies.select("id", "body").mapInArrow(of, "id long, n long, bits array<long>")
 
 
 def dropped_lines(rows: DataFrame, least: float = LEAST) -> DataFrame:
-    """(row, dropped): the positions, from 0, of the lines that go, for each row of (row, doc_id, text) that has any."""
+    """(row, n_lines, dropped) for each row of (row, doc_id, text): its lines that aren't blank, and the positions,
+    from 0, of those that go, null if none does."""
     sketch = written(sketched(rows), "sketch")
     flat = sketch.select("new", F.posexplode("keys").alias("at", "k"))
     band = F.call_function("shiftleft", (F.col("at") % BANDS).cast("long"), F.lit(32))
     low32 = F.col("k").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
     keyed = flat.select(band.bitwiseOR(low32).alias("key"), F.expr(f"new[at div {BANDS}]").alias("id"))
-    pairs, members = pairs_of(keyed)
-    links = verified(pairs, rows, least)
-    parts = components(links)
-    more = untested(members, parts)
-    if not more.isEmpty():
-        parts = components(written(links.unionByName(verified(more, rows, least)), "links"))
+    kept: list[DataFrame] = []
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        if not kept:  # the ids of later pairs are among those of the first
+            kept.append(bodies_of(written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "wanted"), rows))
+        return compared(pairs, kept[0], least)
+
+    parts = linked_parts(keyed, verify, lambda ids: profiles(kept[0].join(ids, "id", "left_semi")), least)
     # Where each line stands first, and how often it stands at all.
     places = sketch.select("row", "doc_id", F.posexplode("ids").alias("at", "id")).filter("id != 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "at"))
@@ -204,7 +228,8 @@ def dropped_lines(rows: DataFrame, least: float = LEAST) -> DataFrame:
     stays = written(join_heavy(lines.select("id", "n", "part"), heads, "part", "size", lines.count()).select("id", "n", F.col("head.row").alias("keep_row"), F.col("head.at").alias("keep_at")), "stays")
     some = written(Filter(stays, "id").passed(places.select("row", "at", "id"), "id"), "some")
     gone = join_heavy(some, stays, "id", "n", some.count()).filter("row != keep_row OR at != keep_at")
-    return written(gone.groupBy("row").agg(F.collect_list("at").alias("dropped")), "dropped")
+    counts = sketch.select("row", F.size(F.filter("ids", lambda x: x != 0)).cast("long").alias("n_lines"))
+    return written(counts.join(gone.groupBy("row").agg(F.collect_list("at").alias("dropped")), "row", "left"), "dropped")
 
 
 def _kept(text: Column, dropped: Column) -> Column:
@@ -231,9 +256,10 @@ def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", least:
         base = written(docs.withColumn(f"{P}row", F.monotonically_increasing_id()), "docs")
     rows = base.select(F.col(f"{P}row").alias("row"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
     dropped = dropped_lines(rows, least)
-    out = base.join(dropped.select(F.col("row").alias(f"{P}row"), F.col("dropped").alias(f"{P}dropped")), f"{P}row", "left")
+    told = dropped.select(F.col("row").alias(f"{P}row"), F.col("n_lines").alias(f"{P}lines"), F.col("dropped").alias(f"{P}dropped"))
+    # The small side is hashed, so the texts need no sorting.
+    out = base.join(told.hint("shuffle_hash"), f"{P}row")
     body = F.when(F.col(f"{P}dropped").isNull(), F.col(text)).otherwise(_kept(F.col(text), F.col(f"{P}dropped")))
-    n_lines = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: F.trim(x) != "")).cast("long")
     n_dropped = F.coalesce(F.size(f"{P}dropped"), F.lit(0)).cast("long")
-    out = out.withColumn("n_lines", n_lines).withColumn("n_dropped", n_dropped).withColumn(text, body)
+    out = out.withColumn("n_lines", F.col(f"{P}lines")).withColumn("n_dropped", F.greatest(n_dropped, F.lit(0).cast("long"))).withColumn(text, body)
     return out.select(*[F.col(f"`{c}`") for c in names], "n_lines", "n_dropped")
