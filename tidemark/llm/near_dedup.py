@@ -4,8 +4,9 @@ Texts that are equal word for word are one class. A class's shingles (five words
 draw arrival times from Poisson processes of their weights; each of the signature's places keeps the shingle that
 arrives first. A shingle stops once its next arrival cannot come before the latest place's, which is the early
 termination. The share of equal places estimates the probability Jaccard similarity of two texts. Bands of places
-give candidate pairs, which are verified by the exact Jaccard similarity of their shingle sets; verified links
-make components, and of each the document with the smallest id stays.
+give candidate pairs, which are verified by the exact Jaccard similarity of their shingle sets; as weights of
+repeated shingles would hide such pairs, there are bands of equal weights as well. Verified links make components,
+and of each the document with the smallest id stays.
 """
 
 from __future__ import annotations
@@ -111,6 +112,18 @@ def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np
     return np.ascontiguousarray(h).view(np.int64)
 
 
+def both_keys(owner: np.ndarray, h: np.ndarray, count: np.ndarray, texts: int) -> list[list[int]]:
+    """Each text's distinct band keys: of equal weights, whose estimate is of the plain Jaccard similarity that
+    accepts pairs, and of the weights 1 + ln count. They differ only where a shingle repeats."""
+    keys = band_keys(signatures(owner, h, np.ones(len(h)), texts)).tolist()
+    again = np.unique(owner[count > 1])
+    on = np.isin(owner, again)
+    weighted = band_keys(signatures(np.searchsorted(again, owner[on]), h[on], 1 + np.log(count[on]), len(again)))
+    for k, more in zip(again.tolist(), weighted.tolist(), strict=True):
+        keys[k] = sorted({*keys[k], *more})
+    return keys
+
+
 def chunks(texts: list[list[str]], most: int = CHUNK) -> Iterator[tuple[int, int]]:
     start = words = 0
     for k, t in enumerate(texts):
@@ -142,8 +155,7 @@ def sketched(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
                 keys = []
                 for a, b in chunks(texts):
                     owner, h, count = distinct(*shingles(texts[a:b], hashes))
-                    found = band_keys(signatures(owner, h, 1 + np.log(count), b - a))
-                    keys += [k.tolist() if t else [] for k, t in zip(found, texts[a:b], strict=True)]
+                    keys += [k if t else [] for k, t in zip(both_keys(owner, h, count, b - a), texts[a:b], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sha, pa.binary()), pa.array(list(map(_own, sha, ids)), pa.int64()), pa.array(keys, pa.list_(pa.int64()))], schema.names)
 
     return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(of, schema)
