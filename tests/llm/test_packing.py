@@ -84,3 +84,22 @@ def test_round_trip(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(df, PATH, with_ids=False).collect() == []
+
+
+def test_added_tokens_are_read_as_by_default(spark, tmp_path):
+    import corpus_pipeline
+    from tidemark.llm import queries
+
+    encode, t = packing.encoder(PATH, added=True), Tokenizer.from_file(PATH)
+    assert encode("a <|endoftext|> b") == [64, 220, 50256, 275]
+    texts = [x for x in TEXTS if x] + ["<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n y", "<|endoftext| >", "é <|endoftext|>" * 2000]
+    for x in texts:
+        assert encode(x) == t.encode(x, add_special_tokens=False).ids
+    want = []
+    for x in texts:
+        ids = t.encode(x, add_special_tokens=False).ids + [2]
+        want += [zlib.crc32(np.array(ids[s : s + n], dtype="<u4").tobytes()) for s, n in packing.cut(len(ids), 1024)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(r.ids_crc32 for r in queries.op10_packing(spark, str(tmp_path)).collect()) == sorted(want)
+    assert sorted(r.ids_crc32 for r in corpus_pipeline.pack(spark, docs, "").collect()) == sorted(want)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,11 +36,12 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 @functools.cache
-def encoder(path: str):
+def encoder(path: str, added: bool = False):
     """encode(text) -> ids, for a byte-level BPE vocabulary file of the library tokenizers.
 
     The file's vocabulary and merges run in tiktoken, which gives the same ids in a quarter of the time (tests
-    hold both against each other). Strings of special tokens are ordinary text.
+    hold both against each other). added: the file's added tokens give their ids, as by default in tokenizers,
+    which encodes the texts that hold one; otherwise their strings are ordinary text.
     """
     import tiktoken
 
@@ -53,7 +55,13 @@ def encoder(path: str):
     byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
     special = {t["content"] for t in model.get("added_tokens", [])}
     ranks = {bytes(byte[c] for c in token): k for token, k in model["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    plain = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    if not added or not special:
+        return plain
+    from tokenizers import Tokenizer
+
+    whole, holds = Tokenizer.from_file(path), re.compile("|".join(map(re.escape, special))).search
+    return lambda text: whole.encode(text, add_special_tokens=False).ids if holds(text) else plain(text)
 
 
 def cut(n: int, most: int) -> list[tuple[int, int]]:
@@ -62,13 +70,13 @@ def cut(n: int, most: int) -> list[tuple[int, int]]:
     return [(0, min(n, first)), *((s, most) for s in range(first, n, most))]
 
 
-def tokenised(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", most: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", most: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = True, added: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, with_ids, ids (little-endian unsigned 32-bit) of each piece."""
     kind = docs.schema[key].dataType
     schema = T.StructType([T.StructField("doc_id", kind), *[T.StructField(c, t) for c, t in _PIECE], *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, added)
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
@@ -143,14 +151,15 @@ def places(steps: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
     return {k: np.array(v, dtype=np.int64) for k, v in rows.items()}
 
 
-def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", most: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", most: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = True, added: bool = False) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset and, with_ids, ids.
 
     Null and empty texts have the end id alone. Rows that repeat a key are documents of their own; null keys stay
     null. Texts of any length are tokenised whole. An empty table gives no rows; other columns are not read.
+    added: see encoder().
     A full piece is a sequence by itself, with a negative number; the others are numbered from 0.
     """
-    rows = written(tokenised(docs, tokenizer, text, key, most, end_id, with_ids), "pieces")
+    rows = written(tokenised(docs, tokenizer, text, key, most, end_id, with_ids, added), "pieces")
     told = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     full = rows.filter(F.col("length") == most).select(*told, (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     short = rows.filter(F.col("length") < most).withColumn("run", bucket(RUNS, F.col("doc_id"), F.col("piece"), F.col("ids_crc32")))

@@ -73,7 +73,7 @@ def tokenizer_path() -> str:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False, added=True)
 
 
 def queries() -> dict:
