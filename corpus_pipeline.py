@@ -45,8 +45,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, as pieces in sequences."""
-    return packing.pack(docs, tokenizer_path(), with_ids=False, added=True)
+    """What is left, as pieces in sequences, with their ids."""
+    return packing.pack(docs, tokenizer_path(), added=True)
 
 
 STAGES = [("quality", keep_quality), ("line_dedup", drop_lines), ("near_dedup", drop_near), ("decontaminate", drop_leaks), ("packing", pack)]

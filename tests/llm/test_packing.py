@@ -103,3 +103,13 @@ def test_added_tokens_are_read_as_by_default(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert sorted(r.ids_crc32 for r in queries.op10_packing(spark, str(tmp_path)).collect()) == sorted(want)
     assert sorted(r.ids_crc32 for r in corpus_pipeline.pack(spark, docs, "").collect()) == sorted(want)
+
+
+def test_pipeline_gives_the_ids(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(TEXTS)], "doc_id long, text string")
+    got, t = corpus_pipeline.pack(spark, docs, "").collect(), Tokenizer.from_file(PATH)
+    for k, x in enumerate(TEXTS):
+        parts = sorted((r.start, r.ids) for r in got if r.doc_id == k)
+        assert np.frombuffer(b"".join(ids for _, ids in parts), dtype="<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids + [2]

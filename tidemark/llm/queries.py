@@ -73,7 +73,9 @@ def tokenizer_path() -> str:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False, added=True)
+    """The packed pieces, with a digest of each one's ids for the ids."""
+    packed = packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), added=True)
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def queries() -> dict:
