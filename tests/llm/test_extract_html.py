@@ -48,3 +48,21 @@ def test_templates_go_but_articles_stay(spark):
 
 def test_empty_table(spark):
     assert X.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def told(spark, pages):
+    df = spark.createDataFrame([(k, f"https://{h}/{k}", p) for k, (h, p) in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in X.extract(df).collect()}
+
+
+def test_containers_that_recur_in_articles_go(spark):
+    body = "<p>This is the text of the one article which has the number {0}, and it goes on for quite some words {0}.</p>"
+    want = "This is the text of the one article which has the number {0}, and it goes on for quite some words {0}."
+    box, copy = "<div class='x7'><p>Join us now</p></div>", "<div class='c'><p>One article that stands at many addresses.</p></div>"
+    pages = [("a", f"<article>{body.format(k)}{box}<p>Same end.</p></article>") for k in range(20)]
+    pages += [("b", f"<nav>{k}</nav><article>{copy}</article>") for k in range(20)]  # the same article again and again
+    pages += [("c", f"<article>{copy}<p>{k}</p></article>") for k in range(20)]  # its near copies
+    got = told(spark, pages)
+    assert all(got[k] == want.format(k) + "\n\nSame end." for k in range(20))
+    assert all(got[20 + k] == "One article that stands at many addresses." for k in range(20))
+    assert all(got[40 + k] == f"One article that stands at many addresses.\n\n{k}" for k in range(20))

@@ -1,8 +1,9 @@
 """Main text of web pages, with site template removal.
 
-Every element subtree outside a page's article is hashed; Spark counts each hash per host over all its pages, and
-subtrees that recur on many pages of their host are deleted. What is no article by its tag, role or class names
-(menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) goes as well.
+Every element subtree outside a page's article and every container inside one is hashed; Spark counts each hash
+per host over all its pages, and subtrees that recur on many pages of their host are deleted. What is no article
+by its tag, role or names (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
+comments) goes as well.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import types as T
 
 from .common import bucket, written
 
-#: A subtree is template if it is on at least so many pages of its host, and on this share of them. So a host has
-#: at most (subtrees of a page) / SHARE template hashes.
+#: A subtree is template if it is on at least so many pages of its host with different texts (inside articles: in
+#: so many different articles), and on this share of them.
 PAGES, SHARE = 10, 0.2
 #: Template hashes up to which they are broadcast; beyond, they are joined by host, with each host SALTS times.
 BROADCAST, SALTS = 200_000, 32
@@ -39,6 +40,8 @@ GONE_ROLES = ["navigation", "banner", "contentinfo", "complementary", "search",
 GONE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|nav\w*|menus?|breadcrumbs?|sidebar\w*|aside|footer|site-?header|masthead|cookies?|consent|gdpr|notices?|banner|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|respond|disqus\w*|reader-?comments?|form)(?:$|[\s_-])"
 )
+#: Elements that count inside articles.
+CONTAINERS = ["aside", "details", "div", "dl", "figure", "ol", "section", "table", "ul"]
 #: An element that is closed when one of these starts in it.
 CLOSES = {"li": ["li"], "dt": ["dt", "dd"], "dd": ["dt", "dd"], "tr": ["tr", "td", "th"], "td": ["td", "th"], "th": ["td", "th"], "option": ["option"]}
 
@@ -49,14 +52,16 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|\bhidden\b|\baria-hidden\s*=\s*["']?true""", re.I)
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>", re.I) for t in RAW}
 _BLOCK, _VOID, _GONE, _RAW = frozenset(BLOCK), frozenset(VOID), frozenset(GONE), frozenset(RAW)
+_CONTAINERS = frozenset(CONTAINERS)
 _ROOTS = ("article", "main")
 
 
 class _Element:
-    __slots__ = ("attributes", "gone", "main", "parts", "tag")
+    __slots__ = ("attributes", "gone", "inside", "main", "parts", "tag")
 
-    def __init__(self, tag: str, attributes: str, gone: bool, main: bool):
-        self.tag, self.attributes, self.gone, self.main = tag, attributes, gone, main
+    def __init__(self, tag: str, attributes: str, inside: bool):
+        self.tag, self.attributes, self.inside, self.main = tag, attributes, inside, tag in _ROOTS
+        self.gone = _boilerplate(tag, attributes)
         #: Texts, and the elements inside, in order.
         self.parts: list = []
 
@@ -77,7 +82,7 @@ def _boilerplate(tag: str, attributes: str) -> bool:
 
 def parse(page: str) -> _Element:
     """The element tree. Unclosed elements end with what holds them; end tags of nothing open are ignored."""
-    top = _Element("", "", False, False)
+    top = _Element("", "", False)
     stack, at, n = [top], 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
@@ -113,7 +118,7 @@ def parse(page: str) -> _Element:
                     break
                 if stack[k].tag in ("ul", "ol", "dl", "table", "select", *_ROOTS):
                     break
-        element = _Element(tag, attributes, _boilerplate(tag, attributes), tag in _ROOTS)
+        element = _Element(tag, attributes, stack[-1].main or stack[-1].inside)
         stack[-1].parts.append(element)
         if tag in _RAW:
             end = _RAW_END[tag].search(page, at)
@@ -127,42 +132,85 @@ def _flat(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
 
-def subtree_hashes(top: _Element) -> dict[int, _Element]:
-    """Hash of tag, attributes and content of each element with text outside articles -> the element."""
-    found: dict[int, list[_Element]] = {}
+def _digest(*parts: str) -> int:
+    return xxhash.xxh3_64_intdigest("\1".join(parts)) - (1 << 63) or 1
+
+
+def _texts(e: _Element) -> str:
+    """All text of an element, for telling articles and pages apart."""
+    found, walk = [], [e]
+    while walk:
+        x = walk.pop()
+        if isinstance(x, str):
+            found += x.split()
+        else:
+            walk.extend(reversed(x.parts))
+    return " ".join(found)
+
+
+def subtrees(top: _Element) -> tuple[list[tuple[int, _Element, _Element, int]], dict[int, _Element], dict[int, int]]:
+    """(hash, element, where, words) of each element with text that holds no article, parents first; and, by id, the
+    element around each one and the words of each one.
+
+    The hash is of tag, attributes and content; inside an article (`where`; else it is the page) only containers
+    count.
+    """
     # Children before parents, without recursion: pages may nest deeply.
-    order, walk = [], [top]
+    order, walk, around, where = [], [top], {}, {id(top): top}
     while walk:
         e = walk.pop()
         order.append(e)
-        walk += [p for p in e.parts if isinstance(p, _Element) and not p.main and p.tag not in _RAW]
-    done: dict[int, tuple[int, bool]] = {}
+        for p in e.parts:
+            if isinstance(p, _Element) and (p.parts or p.tag not in _RAW):
+                around[id(p)], where[id(p)] = e, e if e.main else where[id(e)]
+                walk.append(p)
+    hashes: dict[int, int] = {}
+    words: dict[int, int] = {}
+    holds: set[int] = set()
     for e in reversed(order):
-        told, has_text = [e.tag, e.attributes], False
+        told, n = [e.tag, e.attributes], 0
         for p in e.parts:
             if isinstance(p, str):
                 if t := _flat(p):
                     told.append(t)
-                    has_text = True
-            elif id(p) in done:
-                told.append(f"\0{done[id(p)][0]}")
-                has_text = has_text or done[id(p)][1]
-            elif p.main:
-                told.append("\0main")
-        h = xxhash.xxh3_64_intdigest("\1".join(told)) - (1 << 63)
-        done[id(e)] = h, has_text
-        if has_text and e.tag not in ("", "html", "body"):
-            found.setdefault(h, []).append(e)
-    return found
+                    n += t.count(" ") + 1
+            elif id(p) in hashes:
+                told.append(f"\0{hashes[id(p)]}")
+                n += words[id(p)]
+                if p.main or id(p) in holds:
+                    holds.add(id(e))
+        hashes[id(e)], words[id(e)] = _digest(*told), n
+    found = []
+    for e in order:
+        if words[id(e)] and not e.main and id(e) not in holds and e.tag not in ("", "html", "body") and (not e.inside or e.tag in _CONTAINERS):
+            found.append((hashes[id(e)], e, where[id(e)], words[id(e)]))
+    return found, around, words
+
+
+def counted(top: _Element) -> set[tuple[int, int]]:
+    """(hash, text it stands in) of each subtree; hash 0 for the page itself."""
+    found = subtrees(top)[0]
+    text = {id(e): _digest(_texts(e)) for e in {id(e): e for e in [top, *(w for _, _, w, _ in found)]}.values()}
+    return {(0, text[id(top)]), *((h, text[id(w)]) for h, _, w, _ in found)}
 
 
 def main_text(top: _Element, template: set[int] | None = None) -> str:
     """The blocks of the articles, else of the main parts, else of the page, without boilerplate and template."""
     if template:
-        for h, elements in subtree_hashes(top).items():
-            if h in template and not any(_has_main(e) for e in elements):
-                for e in elements:
-                    e.parts = []
+        found, around, words = subtrees(top)
+        gone = {id(e): e for h, e, _, _ in found if h in template}
+        # An article of which recurring containers are more than half is a copy of others, and keeps them.
+        inside: dict[int, list[_Element]] = {}
+        for e, w in {id(e): (e, w) for _, e, w, _ in found if id(e) in gone and e.inside}.values():
+            a = around[id(e)]
+            while a is not w and id(a) not in gone:
+                a = around[id(a)]
+            if a is w:
+                inside.setdefault(id(w), []).append(e)
+        copies = {k for k, own in inside.items() if 2 * sum(words[id(e)] for e in own) > words[k]}
+        for _, e, w, _ in found:
+            if id(e) in gone and id(w) not in copies:
+                e.parts = []
     roots = _roots(top, "article") or _roots(top, "main") or _roots(top, "article", True) or _roots(top, "main", True) or [top]
     blocks = _blocks(roots, False)
     # A page that is boilerplate by the names of its outer elements alone is read by its tags.
@@ -201,16 +249,6 @@ def _blocks(roots: list[_Element], by_tag: bool) -> list[str]:
     return blocks
 
 
-def _has_main(e: _Element) -> bool:
-    walk = [e]
-    while walk:
-        x = walk.pop()
-        if x.main:
-            return True
-        walk += [p for p in x.parts if isinstance(p, _Element)]
-    return False
-
-
 def _roots(top: _Element, tag: str, by_tag: bool = False) -> list[_Element]:
     """The outermost elements of a tag, in page order, outside boilerplate; by_tag: names don't count."""
     found, walk = [], [top]
@@ -229,16 +267,20 @@ def host(url: Column) -> Column:
 
 
 def templates(pages: DataFrame, markup: str = "html", url: str = "url", least: int = PAGES, share: float = SHARE) -> DataFrame:
-    """(host, hashes): the subtrees that recur on at least `least` pages and this share of the pages of a host."""
+    """(host, hashes): the subtrees that recur on at least `least` pages of different texts, and on this share of
+    the pages of a host."""
+    schema = "host string, seen array<struct<hash: long, place: long>>"
+    one = pa.struct([("hash", pa.int64()), ("place", pa.int64())])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [sorted(subtree_hashes(parse(x.as_py() or ""))) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], ["host", "hashes"])
+            own = [[{"hash": h, "place": w} for h, w in sorted(counted(parse(x.as_py() or "")))] for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(one))], ["host", "seen"])
 
-    seen = pages.select(host(F.col(url)).alias("host"), F.col(markup).alias("html")).mapInArrow(hashed, "host string, hashes array<long>")
-    # Hash 0 counts the pages of the host. Partial sums leave one row for each host, hash and task.
-    counts = written(seen.select("host", F.explode(F.concat(F.array(F.lit(0).cast("long")), F.array_remove("hashes", 0))).alias("hash")).groupBy("host", "hash").count().filter(f"hash = 0 OR count >= {least}"), "subtrees")
+    seen = pages.select(host(F.col(url)).alias("host"), F.col(markup).alias("html")).mapInArrow(hashed, schema)
+    # Hash 0 counts the pages of the host. A page, or article, that is there again counts once.
+    seen = seen.select("host", F.inline("seen")).distinct()
+    counts = written(seen.groupBy("host", "hash").count().filter(f"hash = 0 OR count >= {least}"), "subtrees")
     totals = counts.filter("hash = 0").select("host", F.col("count").alias("pages"))
     often = counts.filter("hash != 0").join(totals, "host").filter(F.col("count") >= F.col("pages") * share)
     return often.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
@@ -247,8 +289,8 @@ def templates(pages: DataFrame, markup: str = "html", url: str = "url", least: i
 def extract(pages: DataFrame, markup: str = "html", url: str = "url", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of pages (all but the markup) and the main text.
 
-    Null and empty markup gives an empty text. Text in an article stays even where it recurs on its host. Pages
-    without a host count as one host. Repeated rows are extracted alike. An empty table gives no rows; a column
+    Null and empty markup gives an empty text. Paragraphs in an article stay even where they recur on their host.
+    Pages without a host count as one host. Repeated rows are extracted alike. An empty table gives no rows; a column
     named like the text column is replaced.
     """
     keep = [c for c in pages.columns if c != markup] if keep is None else keep
