@@ -66,3 +66,9 @@ def test_containers_that_recur_in_articles_go(spark):
     assert all(got[k] == want.format(k) + "\n\nSame end." for k in range(20))
     assert all(got[20 + k] == "One article that stands at many addresses." for k in range(20))
     assert all(got[40 + k] == f"One article that stands at many addresses.\n\n{k}" for k in range(20))
+
+
+def test_sidebars_of_a_section_of_a_host_go(spark):
+    side = "<div id='q1'>The sidebar of this section of the site</div>"
+    got = told(spark, [("a", f"<body>{side if k < 19 else ''}<p>own {k}</p><p>{'yes' if k < 19 else k}</p></body>") for k in range(100)])
+    assert all(got[k] == f"own {k}\n\n{'yes' if k < 19 else k}" for k in range(100))

@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from .common import bucket, written
 
 #: A subtree is template if it is on at least so many pages of its host with different texts (inside articles: in
-#: so many different articles), and on this share of them.
-PAGES, SHARE = 10, 0.2
+#: so many different articles), and either on this share of them or of at least LONG words.
+PAGES, SHARE, LONG = 10, 0.2, 5
 #: Template hashes up to which they are broadcast; beyond, they are joined by host, with each host SALTS times.
 BROADCAST, SALTS = 200_000, 32
 
@@ -187,11 +187,11 @@ def subtrees(top: _Element) -> tuple[list[tuple[int, _Element, _Element, int]],
     return found, around, words
 
 
-def counted(top: _Element) -> set[tuple[int, int]]:
-    """(hash, text it stands in) of each subtree; hash 0 for the page itself."""
+def counted(top: _Element) -> set[tuple[int, int, bool]]:
+    """(hash, text it stands in, whether it is long) of each subtree; hash 0 for the page itself."""
     found = subtrees(top)[0]
     text = {id(e): _digest(_texts(e)) for e in {id(e): e for e in [top, *(w for _, _, w, _ in found)]}.values()}
-    return {(0, text[id(top)]), *((h, text[id(w)]) for h, _, w, _ in found)}
+    return {(0, text[id(top)], False), *((h, text[id(w)], n >= LONG) for h, _, w, n in found)}
 
 
 def main_text(top: _Element, template: set[int] | None = None) -> str:
@@ -268,21 +268,21 @@ def host(url: Column) -> Column:
 
 def templates(pages: DataFrame, markup: str = "html", url: str = "url", least: int = PAGES, share: float = SHARE) -> DataFrame:
     """(host, hashes): the subtrees that recur on at least `least` pages of different texts, and on this share of
-    the pages of a host."""
-    schema = "host string, seen array<struct<hash: long, place: long>>"
-    one = pa.struct([("hash", pa.int64()), ("place", pa.int64())])
+    the pages of a host or with LONG words."""
+    schema = "host string, seen array<struct<hash: long, place: long, long: boolean>>"
+    one = pa.struct([("hash", pa.int64()), ("place", pa.int64()), ("long", pa.bool_())])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [[{"hash": h, "place": w} for h, w in sorted(counted(parse(x.as_py() or "")))] for x in batch.column(1)]
+            own = [[{"hash": h, "place": w, "long": n} for h, w, n in sorted(counted(parse(x.as_py() or "")))] for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(one))], ["host", "seen"])
 
     seen = pages.select(host(F.col(url)).alias("host"), F.col(markup).alias("html")).mapInArrow(hashed, schema)
     # Hash 0 counts the pages of the host. A page, or article, that is there again counts once.
     seen = seen.select("host", F.inline("seen")).distinct()
-    counts = written(seen.groupBy("host", "hash").count().filter(f"hash = 0 OR count >= {least}"), "subtrees")
+    counts = written(seen.groupBy("host", "hash").agg(F.count("*").alias("count"), F.max("long").alias("long")).filter(f"hash = 0 OR count >= {least}"), "subtrees")
     totals = counts.filter("hash = 0").select("host", F.col("count").alias("pages"))
-    often = counts.filter("hash != 0").join(totals, "host").filter(F.col("count") >= F.col("pages") * share)
+    often = counts.filter("hash != 0").join(totals, "host").filter(F.col("long") | (F.col("count") >= F.col("pages") * share))
     return often.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
 
 
