@@ -72,3 +72,11 @@ def test_sidebars_of_a_section_of_a_host_go(spark):
     side = "<div id='q1'>The sidebar of this section of the site</div>"
     got = told(spark, [("a", f"<body>{side if k < 19 else ''}<p>own {k}</p><p>{'yes' if k < 19 else k}</p></body>") for k in range(100)])
     assert all(got[k] == f"own {k}\n\n{'yes' if k < 19 else k}" for k in range(100))
+
+
+def test_names_inside_articles(spark):
+    kept = "<h2 id='cookies'>a</h2><section id='related-work'>b</section><p class='ad-hominem'>c</p><div id='social-history'>d</div><div id='navier'>e</div>"
+    read = "<p><math><mi>x</mi></math></p><object><p>o</p></object><noscript><p>n</p></noscript><svg><title>t</title><text>s</text></svg>"
+    assert text(f"<article>{kept}{read}<div class='share-box'>z</div></article>") == "a\n\nb\n\nc\n\nd\n\ne\n\nx\n\no\n\nn\n\ns\n\nz"
+    got = told(spark, [("a", f"<article><p>own {k}</p><div class='share-box'>share {k}</div><div id='comments'>hi</div></article>") for k in range(20)])
+    assert all(got[k] == f"own {k}" for k in range(20))

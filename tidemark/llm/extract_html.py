@@ -1,9 +1,10 @@
 """Main text of web pages, with site template removal.
 
 Every element subtree outside a page's article and every container inside one is hashed; Spark counts each hash
-per host over all its pages, and subtrees that recur on many pages of their host are deleted. What is no article
-by its tag, role or names (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
-comments) goes as well.
+per host over all its pages, and subtrees that recur on many pages of their host are deleted. Outside articles, what
+is no article by its tag, role or names (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles,
+reader comments) goes as well; inside, by its tag, role or names of reader comments, and containers of such a class
+where the class recurs.
 """
 
 from __future__ import annotations
@@ -40,8 +41,11 @@ GONE_ROLES = ["navigation", "banner", "contentinfo", "complementary", "search",
 GONE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|nav\w*|menus?|breadcrumbs?|sidebar\w*|aside|footer|site-?header|masthead|cookies?|consent|gdpr|notices?|banner|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|respond|disqus\w*|reader-?comments?|form)(?:$|[\s_-])"
 )
-#: Elements that count inside articles.
+#: Names of reader comments, which differ from page to page; those of a container inside an article.
+COMMENTS = re.compile(r"(?:^|\s)(?:comments?|respond|disqus\w*|reader-?comments?)(?:$|\s)")
 CONTAINERS = ["aside", "details", "div", "dl", "figure", "ol", "section", "table", "ul"]
+#: Elements whose text is read inside an article.
+READ = ["noscript", "svg", "math", "object"]
 #: An element that is closed when one of these starts in it.
 CLOSES = {"li": ["li"], "dt": ["dt", "dd"], "dd": ["dt", "dd"], "tr": ["tr", "td", "th"], "td": ["td", "th"], "th": ["td", "th"], "option": ["option"]}
 
@@ -52,16 +56,17 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|\bhidden\b|\baria-hidden\s*=\s*["']?true""", re.I)
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>", re.I) for t in RAW}
 _BLOCK, _VOID, _GONE, _RAW = frozenset(BLOCK), frozenset(VOID), frozenset(GONE), frozenset(RAW)
-_CONTAINERS = frozenset(CONTAINERS)
+_CONTAINERS, _READ = frozenset(CONTAINERS), frozenset(READ)
 _ROOTS = ("article", "main")
 
 
 class _Element:
-    __slots__ = ("attributes", "gone", "inside", "main", "parts", "tag")
+    __slots__ = ("attributes", "gone", "inside", "main", "named", "parts", "tag")
 
     def __init__(self, tag: str, attributes: str, inside: bool):
         self.tag, self.attributes, self.inside, self.main = tag, attributes, inside, tag in _ROOTS
-        self.gone = _boilerplate(tag, attributes)
+        #: inside: whether it is in an article or main part. There, the listed class waits for its recurrence.
+        self.gone, self.named = _in_article(tag, attributes) if inside else (_boilerplate(tag, attributes), "")
         #: Texts, and the elements inside, in order.
         self.parts: list = []
 
@@ -80,6 +85,27 @@ def _boilerplate(tag: str, attributes: str) -> bool:
     return False
 
 
+def _in_article(tag: str, attributes: str) -> tuple[bool, str]:
+    """Whether an element inside an article is boilerplate, and the listed class of a container."""
+    if tag in _GONE and tag not in _READ:
+        return True, ""
+    named = ""
+    if not attributes or tag in _ROOTS or tag in ("body", "html"):
+        return False, named
+    for m in _NAMES.finditer(attributes):
+        if not m[1]:
+            return True, ""
+        if tag not in _CONTAINERS:
+            continue
+        value = m[2].strip("\"'").lower()
+        kind = m[1].lower()
+        if value in GONE_ROLES if kind == "role" else COMMENTS.search(value):
+            return True, ""
+        if kind == "class" and GONE_NAMES.search(value):
+            named = value
+    return False, named
+
+
 def parse(page: str) -> _Element:
     """The element tree. Unclosed elements end with what holds them; end tags of nothing open are ignored."""
     top = _Element("", "", False)
@@ -120,7 +146,7 @@ def parse(page: str) -> _Element:
                     break
         element = _Element(tag, attributes, stack[-1].main or stack[-1].inside)
         stack[-1].parts.append(element)
-        if tag in _RAW:
+        if tag in _RAW and not (element.inside and tag in _READ):
             end = _RAW_END[tag].search(page, at)
             at = end.end() if end else n
         elif tag not in _VOID and not (attributes.endswith("/") and tag not in _BLOCK):
@@ -153,7 +179,7 @@ def subtrees(top: _Element) -> tuple[list[tuple[int, _Element, _Element, int]],
     element around each one and the words of each one.
 
     The hash is of tag, attributes and content; inside an article (`where`; else it is the page) only containers
-    count.
+    count, and those of a listed class once more by that class alone.
     """
     # Children before parents, without recursion: pages may nest deeply.
     order, walk, around, where = [], [top], {}, {id(top): top}
@@ -184,6 +210,8 @@ def subtrees(top: _Element) -> tuple[list[tuple[int, _Element, _Element, int]],
     for e in order:
         if words[id(e)] and not e.main and id(e) not in holds and e.tag not in ("", "html", "body") and (not e.inside or e.tag in _CONTAINERS):
             found.append((hashes[id(e)], e, where[id(e)], words[id(e)]))
+            if e.named:
+                found.append((_digest("\0class", e.tag, e.named), e, where[id(e)], LONG))
     return found, around, words
 
 
@@ -199,9 +227,10 @@ def main_text(top: _Element, template: set[int] | None = None) -> str:
     if template:
         found, around, words = subtrees(top)
         gone = {id(e): e for h, e, _, _ in found if h in template}
+        named = {id(e) for h, e, _, _ in found if e.named and h == _digest("\0class", e.tag, e.named) and h in template}
         # An article of which recurring containers are more than half is a copy of others, and keeps them.
         inside: dict[int, list[_Element]] = {}
-        for e, w in {id(e): (e, w) for _, e, w, _ in found if id(e) in gone and e.inside}.values():
+        for e, w in {id(e): (e, w) for _, e, w, _ in found if id(e) in gone and e.inside and id(e) not in named}.values():
             a = around[id(e)]
             while a is not w and id(a) not in gone:
                 a = around[id(a)]
@@ -209,7 +238,7 @@ def main_text(top: _Element, template: set[int] | None = None) -> str:
                 inside.setdefault(id(w), []).append(e)
         copies = {k for k, own in inside.items() if 2 * sum(words[id(e)] for e in own) > words[k]}
         for _, e, w, _ in found:
-            if id(e) in gone and id(w) not in copies:
+            if id(e) in gone and (id(w) not in copies or id(e) in named):
                 e.parts = []
     roots = _roots(top, "article") or _roots(top, "main") or _roots(top, "article", True) or _roots(top, "main", True) or [top]
     blocks = _blocks(roots, False)
