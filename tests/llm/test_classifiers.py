@@ -82,3 +82,23 @@ def test_accepted_keeps_columns(spark):
     docs, labels, _ = docs_and_labels(spark, "quality")
     kept = quality.accepted(docs, labels)
     assert kept.columns == docs.columns and 400 < kept.count() < 480
+
+
+def test_insults_split_by_a_blank(spark):
+    docs, labels, _ = docs_and_labels(spark, "toxic")
+    model = toxicity.learn(docs, labels)
+    split = ["tan sel zor gle rut.", "mi blim fest no", "the cran dok", "zo rg le", "one. Cran-do k!"]
+    clean = ["tan sel rut.", "mi no", "a zor. Gle is", ""]
+    rows = spark.createDataFrame(list(enumerate(split + clean)), "k int, text string")
+    got = {r.k: r.score >= toxicity.TOXIC for r in toxicity.scored(rows, model).collect()}
+    assert [got[k] for k in range(len(got))] == [True] * len(split) + [False] * len(clean)
+
+
+def test_bound_of_windows():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("aabcdé1") for _ in range(rng.randint(1, 40))) for _ in range(500)]
+    model = toxicity.Model(np.random.default_rng(1).normal(size=toxicity.CLASSES**3).astype(np.float32), -1.0, 1.0, 0.0)
+    assert (model.at_most(words) >= model.decide(words)).all()
+    texts = [" ".join(rng.choices(words, k=30)) for _ in range(20)]
+    want = [max(model.decide(sorted(toxicity.windows(t)))) for t in texts]
+    assert np.allclose(toxicity.with_windows(model, texts, np.full(20, toxicity.NOTHING)), np.maximum(want, toxicity.NOTHING))

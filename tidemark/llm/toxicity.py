@@ -4,7 +4,8 @@ The kernel of two strings is the normalised inner product of their feature maps:
 characters, the sum of DECAY ** span over all its occurrences as a subsequence. So an insult with characters
 inserted or left out stays near the insult. Characters fall into 64 classes, so the map has 64 ** 3 features.
 
-A sentence is a bag of units: its words without marks, and runs of single characters joined. Multiple-instance
+A text is a bag of units: its words without marks, and runs of single characters joined; it is scored by these and
+by neighbouring words of a sentence joined, so that an insult split by blanks is whole again. Multiple-instance
 learning starts from sentence labels (those of their documents), takes in each toxic document the unit that the
 machine finds worst, and fits again. As the decision is linear in the kernels with the landmarks, it is one
 table over the features: a unit is scored in time that its own subsequences take, however many landmarks.
@@ -12,6 +13,7 @@ table over the features: a unit is scored in time that its own subsequences take
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -57,6 +59,17 @@ def units(text: str) -> set[str]:
     return found
 
 
+def windows(text: str) -> set[str]:
+    """Two neighbouring words of a sentence joined without marks, and three if they are LONGEST at most."""
+    found: set[str] = set()
+    for sentence in SENTENCES.split(text.lower()):
+        words = [w for w in (MARKS.sub("", x) for x in sentence.split()) if w]
+        two = list(map(str.__add__, words, words[1:]))
+        found.update(two)
+        found.update([a + b for a, b in zip(two, words[2:]) if len(a) + len(b) <= LONGEST])  # noqa: B905
+    return found
+
+
 def _pieces(unit: str) -> list[str]:
     if len(unit) <= LONGEST:
         return [unit]
@@ -94,6 +107,17 @@ def maps(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     return codes, weights / norm[:, None]
 
 
+@functools.cache
+def _spans(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For n characters: all pairs of places, and of each three places the pair's number, the third and the weight."""
+    i, j, k = np.array(list(combinations(range(n), 3))).T
+    pairs = np.array(list(combinations(range(n), 2))).T
+    number = np.zeros((n, n), dtype=np.int64)
+    number[pairs[0], pairs[1]] = np.arange(len(pairs[0]))
+    weight = DECAY ** (k - i + 1.0)
+    return pairs, number[i, j], k, (weight / np.sqrt((weight**2).sum())).astype(np.float32)
+
+
 def by_length(words: list[str], block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(positions in words, codes, weights) in blocks of equal length."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -138,6 +162,26 @@ class Model:
         starts = np.cumsum([0, *map(len, pieces)])[:-1]
         return (np.maximum.reduceat(values, starts) if len(flat) else values) + self.bias
 
+    def at_most(self, words: list[str]) -> np.ndarray:
+        """A bound on decide(), in a fraction of its time: the norm is that of features that all differ, which is
+        the least there can be."""
+        pieces = [_pieces(w) for w in words]
+        flat = [p for ps in pieces for p in ps]
+        values, lengths = np.zeros(len(flat)), np.fromiter(map(len, flat), np.int64, len(flat))
+        for n in np.unique(lengths):
+            pairs, ij, k, weight = _spans(int(n) if n > 2 else int(n) + 2)
+            own = np.flatnonzero(lengths == n)
+            for at in range(0, len(own), 256):
+                part = own[at : at + 256]
+                c = _classes([flat[x] for x in part], int(n)).astype(np.int32)
+                if n < 3:
+                    c = np.pad(c, ((0, 0), (1, 1)), constant_values=CLASSES - 1)
+                both = (c[:, pairs[0]] * CLASSES + c[:, pairs[1]]) * CLASSES
+                values[part] = self.table.take(both.take(ij, 1) + c.take(k, 1)) @ weight
+        starts = np.cumsum([0, *map(len, pieces)])[:-1]
+        # A little more than rounding may take.
+        return (np.maximum.reduceat(np.maximum(values, values * 0), starts) if len(flat) else values) + self.bias + 1e-3
+
     def score(self, worst: np.ndarray) -> np.ndarray:
         if np.isinf(self.shift):  # nothing was learned
             return np.zeros(len(worst))
@@ -178,14 +222,17 @@ def table_of(marks: list[str], beta: np.ndarray) -> np.ndarray:
     return table.astype(np.float32)
 
 
-def fit(texts: list[str], labels: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 3) -> Model:
+def fit(texts: list[str], labels: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 3, bodies: list[str] | None = None) -> Model:
     """From labelled documents, as bags of the units of their sentences; equal bags count once.
 
+    bodies: the texts as written, whose windows count where the scores are fixed.
     Without both labels, every document scores 0.
     """
     none = Model(np.zeros(CLASSES**3, dtype=np.float32), 0.0, 1.0, np.inf)
     same: dict[str, str] = {}
-    bags = {tuple(sorted({same.setdefault(p, p) for s in SENTENCES.split(t) for u in units(s) for p in _pieces(u)})): int(y) for t, y in zip(texts, labels, strict=True)}
+    own = [tuple(sorted({same.setdefault(p, p) for s in SENTENCES.split(t) for u in units(s) for p in _pieces(u)})) for t in texts]
+    bags = {bag: int(y) for bag, y in zip(own, labels, strict=True)}
+    body = dict(zip(own, bodies or texts, strict=True))
     bags.pop((), None)
     labels = np.array(list(bags.values()))
     if not len(labels) or labels.sum() in (0, len(labels)):
@@ -237,6 +284,8 @@ def fit(texts: list[str], labels: np.ndarray, landmarks: int = LANDMARKS, rounds
         belief = dict(zip(vocabulary, decided.tolist(), strict=True))
         negative |= {u for u in sorted(clean, key=lambda u: (-belief[u], u))[: NEGATIVES // 4] if belief[u] > -1}
     worst = np.array([max(belief[u] for u in bag) for bag in bags])
+    written, step = [body[bag] for bag in bags], 256
+    worst = np.concatenate([with_windows(model, written[at : at + step], worst[at : at + step]) for at in range(0, len(bags), step)])
     model.slope, model.shift = platt(worst, labels)
     return model
 
@@ -258,15 +307,15 @@ def platt(value: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = LEARN_FROM, text: str = "text", key: str = "doc_id") -> Model:
-    """From at most `most` labelled documents that are not held out; their distinct units go to the driver."""
+    """From at most `most` labelled documents that are not held out; they and their distinct units go to the driver."""
 
     def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"label": batch["label"], "text": ["\n".join(sorted(units(t))) for t in batch["text"]]})
+            yield pd.DataFrame({"label": batch["label"], "text": ["\n".join(sorted(units(t))) for t in batch["text"]], "body": batch["text"]})
 
-    rows = sampled(docs, labels, "toxic", most, text, key).mapInPandas(told, "label int, text string").toPandas()
-    rows = rows.sort_values(["label", "text"])
-    return fit(rows["text"].tolist(), rows["label"].to_numpy())
+    rows = sampled(docs, labels, "toxic", most, text, key).mapInPandas(told, "label int, text string, body string").toPandas()
+    rows = rows.sort_values(["label", "text", "body"])
+    return fit(rows["text"].tolist(), rows["label"].to_numpy(), bodies=rows["body"].tolist())
 
 
 _seen: dict[str, float] = {}
@@ -282,7 +331,26 @@ def worst(model: Model, token: str, texts: pd.Series) -> np.ndarray:
     new = list(set().union(*bags) - _seen.keys()) if bags else []
     _seen.update(zip(new, model.decide(new).tolist(), strict=True))
     get = _seen.__getitem__
-    return np.array([max(map(get, bag), default=NOTHING) for bag in bags])
+    found = np.array([max(map(get, bag), default=NOTHING) for bag in bags])
+    return with_windows(model, texts, found)
+
+
+def with_windows(model: Model, texts: pd.Series, found: np.ndarray) -> np.ndarray:
+    """The larger of found and of the decision value of each text's worst window. Windows whose bound is lower are
+    not looked at closely."""
+    if np.isinf(model.shift):
+        return found
+    found = found.copy()
+    own = [list(windows(t)) for t in texts]
+    number = {w: k for k, w in enumerate(set().union(*own))} if own else {}
+    words = list(number)
+    bound = model.at_most(words)
+    for at, mine in enumerate(own):
+        places = np.fromiter(map(number.__getitem__, mine), np.int64, len(mine))
+        close = places[bound[places] > found[at]]
+        if len(close):
+            found[at] = max(found[at], model.decide([words[k] for k in close]).max())
+    return found
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:
