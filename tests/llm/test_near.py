@@ -31,9 +31,10 @@ def edited(rng, words, n):
 def test_union_find(spark):
     rng = random.Random(4)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + k, 1001 + k) for k in range(100)] + [(5000, 5000 + k) for k in range(1, 300)]
-    got = {r.id: r.part for r in similar.components(spark.createDataFrame(links, "a long, b long")).collect()}
     want = components(links, {x for p in links if p[0] != p[1] for x in p})
-    assert got == want
+    for per_task in (similar.PER_TASK, 20):
+        got = {r.id: r.part for r in similar.components(spark.createDataFrame(links, "a long, b long").repartition(7), per_task).collect()}
+        assert got == want
     assert similar.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -64,6 +65,19 @@ def tasks(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+_settled = False
+
+
+def settle() -> None:
+    """For Python workers, at the start of a task: what is loaded by then stays, so the garbage collection that
+    Spark runs after every task needn't look at it again, which would take longer than many a task."""
+    global _settled
+    if not _settled:
+        gc.collect()
+        gc.freeze()
+        _settled = True
+
+
 def bit(n: Column) -> Column:
     """A long with bit n set."""
     return F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))

@@ -3,8 +3,8 @@
 Each line's character shingles give a one-permutation MinHash signature, empty places filled from others of its
 own. Bands of places give candidate pairs, verified by the exact Jaccard similarity of the shingle sets. Verified
 pairs and equal lines make components by distributed union-find, and of each component one line stays: its first
-in order of document and position. Texts are read thrice and shuffled only where lines go; what else moves is
-hashes.
+in order of document and position. Texts are read thrice, and shuffled only where lines go; what else moves is
+hashes, and lines that share a band.
 """
 
 from __future__ import annotations
@@ -14,13 +14,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import P, written
-from .near_dedup import distinct, mixed
-from .similar import Filter, bit_sets, join_heavy, linked_parts, may_hold
+from .common import P, settle, written
+from .similar import Filter, Similarity, join_heavy, linked_parts, may_hold, mixed, told_links, with_texts
 
 #: Characters of a shingle.
 SHINGLE = 8
@@ -28,7 +27,9 @@ LEAST = 0.8
 #: A pair of similarity 0.8 shares a band with probability 0.998, one of 0.2 with 0.005.
 BANDS, ROWS = 16, 5
 #: Characters of lines that are worked on at once; a longer line is worked on alone, whole.
-CHUNK = 400_000
+CHUNK = 100_000
+#: A line that isn't blank, from its first character that Python's str.split() takes for no white space.
+LINE = r"[^\s\u000B\u001C-\u001F\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000][^\n]*"
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 
@@ -42,23 +43,44 @@ def line_ids(lines: list[str]) -> list[int]:
     return [(xxhash.xxh3_64_intdigest(x) - (1 << 63)) or 1 if x else 0 for x in lines]
 
 
-def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(line, hash) of every shingle of SHINGLE characters; a shorter line, but not an empty one, is one shingle."""
-    padded = [x if len(x) >= SHINGLE or not x else x + "\0" * (SHINGLE - len(x)) for x in lines]
-    lengths = np.fromiter(map(len, padded), np.int64, len(padded))
-    h = np.frombuffer("".join(padded).encode("utf-32-le"), dtype="<u4").astype(_U) + _U(1)
+def _rolled(codes: np.ndarray) -> np.ndarray:
+    """The hash of every SHINGLE characters in a row."""
+    h = codes.astype(_U) + _U(1)
     # Hashes of 1, 2, 4, then 8 characters.
     width, base = 1, _BASE
     while width < SHINGLE:
         if len(h) > width:
             h = h[:-width] * _U(base) + h[width:]
         base, width = base * base % (1 << 64), width * 2
+    return h
+
+
+def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of every shingle of SHINGLE characters; a shorter line, but not an empty one, is one shingle."""
+    padded = [x if len(x) >= SHINGLE or not x else x + "\0" * (SHINGLE - len(x)) for x in lines]
+    lengths = np.fromiter(map(len, padded), np.int64, len(padded))
+    h = _rolled(np.frombuffer("".join(padded).encode("utf-32-le"), dtype="<u4"))
     n = np.maximum(lengths - SHINGLE + 1, 0)
     owner = np.repeat(np.arange(len(lines)), n)
     at = np.arange(len(owner)) + np.repeat(np.cumsum(lengths) - lengths - (np.cumsum(n) - n), n)
     return owner, mixed(h[at]) if len(at) else np.zeros(0, dtype=_U)
 
 
+def shingle_set(line: str) -> np.ndarray:
+    """The distinct shingle hashes of one line, sorted; before mixing, which keeps equality."""
+    h = np.sort(_rolled(np.frombuffer((line + "\0" * (SHINGLE - len(line))).encode("utf-32-le"), dtype="<u4")))
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
+
+
+def _jaccard(x: np.ndarray, y: np.ndarray, least: float) -> float:
+    """The Jaccard similarity of sorted sets; 0 if their sizes already keep it under `least`."""
+    if min(len(x), len(y)) < least * max(len(x), len(y)):
+        return 0.0
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    both = int((x[at] == y).sum())
+    return both / (len(x) + len(y) - both)
+
+
 _orders: dict[int, np.ndarray] = {}
 
 
@@ -92,12 +114,12 @@ def signatures(owner: np.ndarray, h: np.ndarray, lines: int, places: int = BANDS
 
 
 def band_keys(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """lines x bands, 32-bit hashes."""
+    """lines x bands, signed 64-bit: a hash of the band's places and its number."""
     parts = signature.reshape(len(signature), bands, rows)
-    h = np.zeros(parts.shape[:2], dtype=_U)
+    h = np.broadcast_to(mixed(np.arange(1, bands + 1, dtype=_U)), parts.shape[:2])
     for k in range(rows):
-        h = mixed(h * _U(3) + parts[:, :, k] + _U(k))
-    return (h >> _U(32)).astype(np.uint32).view(np.int32)
+        h = mixed(h * _U(3) + parts[:, :, k])
+    return np.ascontiguousarray(h).view(np.int64)
 
 
 def _blocks(lines: list[str], most: int = CHUNK) -> Iterator[list[str]]:
@@ -115,9 +137,10 @@ def _blocks(lines: list[str], most: int = CHUNK) -> Iterator[list[str]]:
 def sketched(rows: DataFrame) -> DataFrame:
     """(row, doc_id, ids, new, keys) of (row, doc_id, text): the line ids in order, and of the lines that a task
     sees for the first time, the ids and, BANDS for each, the band keys."""
-    schema = T.StructType([rows.schema["row"], rows.schema["doc_id"], *[T.StructField(c, T.ArrayType(t)) for c, t in (("ids", T.LongType()), ("new", T.LongType()), ("keys", T.IntegerType()))]])
+    schema = T.StructType([rows.schema["row"], rows.schema["doc_id"], *[T.StructField(c, T.ArrayType(t)) for c, t in (("ids", T.LongType()), ("new", T.LongType()), ("keys", T.LongType()))]])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         known: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
@@ -136,7 +159,7 @@ def sketched(rows: DataFrame) -> DataFrame:
                 if len(known) > 500_000:  # forgetting costs repeated rows, not lost ones
                     known.clear()
                 found = [band_keys(signatures(*shingles(b), len(b))) for b in _blocks(lines)]
-                keys = np.concatenate(found).ravel() if found else np.zeros(0, dtype=np.int32)
+                keys = np.concatenate(found).ravel() if found else np.zeros(0, dtype=np.int64)
                 ends = np.cumsum([0, *[len(x) * BANDS for x in fresh]]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(ids, pa.list_(pa.int64())), pa.array(fresh, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))], schema.names
@@ -150,6 +173,7 @@ def bodies_of(wanted: DataFrame, rows: DataFrame) -> DataFrame:
     held = rows.sparkSession.sparkContext.broadcast(Filter(wanted, "id").array())
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         known: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
@@ -169,49 +193,28 @@ def bodies_of(wanted: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def compared(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
-    """Of the pairs (a, b), written: those whose shingle sets have a Jaccard similarity of `least`."""
-    shown = pairs.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("text_b")), "b")
-    shown = shown.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    """Of the written pairs (a, b), links (b, a), written, that connect those whose shingle sets have a Jaccard
+    similarity of `least`."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, None
+        settle()
+        last, known, found = None, None, []
         for batch in batches:
             a, on = batch.column(0).to_pylist(), []
             for k in range(len(a)):
                 if a[k] != last:
-                    last, known = a[k], np.unique(shingles([batch.column(2)[k].as_py()])[1])
-                other = np.unique(shingles([batch.column(3)[k].as_py()])[1])
-                both = len(np.intersect1d(known, other, assume_unique=True)) if min(len(known), len(other)) >= least * max(len(known), len(other)) else 0
-                on.append(both >= least * (len(known) + len(other) - both))
-            mask = pa.array(on, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
-
-    return written(shown.mapInArrow(of, "a long, b long"), "verified")
-
-
-def profiles(bodies: DataFrame) -> DataFrame:
-    """(id, n, bits) of each body, see similar.bit_sets()."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lines, at = batch.column(1).to_pylist(), 0
-            for block in _blocks(lines):
-                owner, h, _ = distinct(*shingles(block))
-                n, bits = bit_sets(owner, h, len(block))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(block)), pa.array(n), pa.array(list(bits), pa.list_(pa.int64()))], ["id", "n", "bits"])
-                at += len(block)
+                    last, known = a[k], shingle_set(batch.column(2)[k].as_py())
+                other = shingle_set(batch.column(3)[k].as_py())
+                on.append(_jaccard(known, other, least) >= least)
+            found.append((batch.column(0).to_numpy()[on], batch.column(1).to_numpy()[on]))
+        yield from told_links(found, ["b", "a"])
 
-    return bodies.select("id", "body").mapInArrow(of, "id long, n long, bits array<long>")
+    return written(with_texts(pairs, bodies).mapInArrow(of, "b long, a long"), "verified")
 
 
 def dropped_lines(rows: DataFrame, least: float = LEAST) -> DataFrame:
-    """(row, n_lines, dropped) for each row of (row, doc_id, text): its lines that aren't blank, and the positions,
-    from 0, of those that go, null if none does."""
+    """(row, dropped), written, for each row of (row, doc_id, text) that loses lines: their positions, from 0."""
     sketch = written(sketched(rows), "sketch")
-    flat = sketch.select("new", F.posexplode("keys").alias("at", "k"))
-    band = F.call_function("shiftleft", (F.col("at") % BANDS).cast("long"), F.lit(32))
-    low32 = F.col("k").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
-    keyed = flat.select(band.bitwiseOR(low32).alias("key"), F.expr(f"new[at div {BANDS}]").alias("id"))
     kept: list[DataFrame] = []
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -219,7 +222,7 @@ def dropped_lines(rows: DataFrame, least: float = LEAST) -> DataFrame:
             kept.append(bodies_of(written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "wanted"), rows))
         return compared(pairs, kept[0], least)
 
-    parts = linked_parts(keyed, verify, lambda ids: profiles(kept[0].join(ids, "id", "left_semi")), least)
+    parts = linked_parts(sketch.select(F.col("new").alias("ids"), "keys"), Similarity(verify, lambda: kept[0], shingles, least))
     # Where each line stands first, and how often it stands at all.
     places = sketch.select("row", "doc_id", F.posexplode("ids").alias("at", "id")).filter("id != 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "at"))
@@ -228,15 +231,25 @@ def dropped_lines(rows: DataFrame, least: float = LEAST) -> DataFrame:
     stays = written(join_heavy(lines.select("id", "n", "part"), heads, "part", "size", lines.count()).select("id", "n", F.col("head.row").alias("keep_row"), F.col("head.at").alias("keep_at")), "stays")
     some = written(Filter(stays, "id").passed(places.select("row", "at", "id"), "id"), "some")
     gone = join_heavy(some, stays, "id", "n", some.count()).filter("row != keep_row OR at != keep_at")
-    counts = sketch.select("row", F.size(F.filter("ids", lambda x: x != 0)).cast("long").alias("n_lines"))
-    return written(counts.join(gone.groupBy("row").agg(F.collect_list("at").alias("dropped")), "row", "left"), "dropped")
+    return written(gone.groupBy("row").agg(F.collect_list("at").alias("dropped")), "dropped")
+
 
+def _cut(rows: DataFrame) -> DataFrame:
+    """(row, text, n_dropped) of (row, text, dropped): the text without the dropped lines."""
+    schema = T.StructType([*rows.schema.fields[:2], T.StructField("n_dropped", T.LongType())])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
+        for batch in batches:
+            texts, counts = batch.column(1).to_pylist(), []
+            for k, dropped in enumerate(batch.column(2).to_pylist()):
+                counts.append(len(dropped or ()))
+                if dropped:
+                    gone = set(dropped)
+                    texts[k] = "\n".join([x for at, x in enumerate(texts[k].split("\n")) if at not in gone])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], schema.names)
 
-def _kept(text: Column, dropped: Column) -> Column:
-    """The text without the dropped lines."""
-    lines = F.split(text, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)
-    return F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n")
+    return rows.mapInArrow(of, schema)
 
 
 def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = LEAST) -> DataFrame:
@@ -256,10 +269,14 @@ def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", least:
         base = written(docs.withColumn(f"{P}row", F.monotonically_increasing_id()), "docs")
     rows = base.select(F.col(f"{P}row").alias("row"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
     dropped = dropped_lines(rows, least)
-    told = dropped.select(F.col("row").alias(f"{P}row"), F.col("n_lines").alias(f"{P}lines"), F.col("dropped").alias(f"{P}dropped"))
+    n_lines = F.coalesce(F.regexp_count(text, F.lit(LINE)), F.lit(0)).cast("long")
+    base = base.select(*[F.col(f"`{c}`") for c in names], F.col(f"{P}row"), n_lines.alias("n_lines"), F.xxhash64(f"{P}row").alias(f"{P}hash"))
+    # Only rows that may lose lines are shuffled.
+    marked = Filter(dropped.select(F.xxhash64("row").alias("hash")), "hash").marked(base, f"{P}hash", f"{P}may")
+    told = [*[F.col(f"`{c}`") for c in names], "n_lines", "n_dropped"]
+    alone = marked.filter(~F.col(f"{P}may")).withColumn("n_dropped", F.lit(0).cast("long")).select(*told)
     # The small side is hashed, so the texts need no sorting.
-    out = base.join(told.hint("shuffle_hash"), f"{P}row")
-    body = F.when(F.col(f"{P}dropped").isNull(), F.col(text)).otherwise(_kept(F.col(text), F.col(f"{P}dropped")))
-    n_dropped = F.coalesce(F.size(f"{P}dropped"), F.lit(0)).cast("long")
-    out = out.withColumn("n_lines", F.col(f"{P}lines")).withColumn("n_dropped", F.greatest(n_dropped, F.lit(0).cast("long"))).withColumn(text, body)
-    return out.select(*[F.col(f"`{c}`") for c in names], "n_lines", "n_dropped")
+    some = marked.filter(f"{P}may").join(dropped.select(F.col("row").alias(f"{P}row"), F.col("dropped").alias(f"{P}dropped")).hint("shuffle_hash"), f"{P}row", "left")
+    others = [F.col(f"`{c}`") for c in names if c != text]
+    cut = _cut(some.select(F.struct(*others, "n_lines").alias(f"{P}all"), F.col(text).alias(text), f"{P}dropped"))
+    return alone.unionByName(cut.select(f"{P}all.*", text, "n_dropped").select(*told))

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import P, written
-from .similar import Filter, bit_sets, join_heavy, linked_parts, may_hold
+from .common import P, settle, written
+from .similar import Filter, Similarity, join_heavy, linked_parts, may_hold, mixed, told_links, weight_of, with_texts
 
 WORDS = 5
 LEAST = 0.8
@@ -37,13 +37,6 @@ def normalised(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: each input bit moves about half of the output bits."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
 class WordHashes(dict):
     """Hashes of words; forgets all when it holds too many."""
 
@@ -118,7 +111,7 @@ def both_keys(owner: np.ndarray, h: np.ndarray, count: np.ndarray, texts: int) -
     keys = band_keys(signatures(owner, h, np.ones(len(h)), texts)).tolist()
     again = np.unique(owner[count > 1])
     on = np.isin(owner, again)
-    weighted = band_keys(signatures(np.searchsorted(again, owner[on]), h[on], 1 + np.log(count[on]), len(again)))
+    weighted = band_keys(signatures(np.searchsorted(again, owner[on]), h[on], weight_of(count[on]), len(again)))
     for k, more in zip(again.tolist(), weighted.tolist(), strict=True):
         keys[k] = sorted({*keys[k], *more})
     return keys
@@ -146,6 +139,7 @@ def sketched(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("sha", T.BinaryType()), T.StructField("own", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         hashes = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -166,6 +160,7 @@ def bodies_of(wanted: DataFrame, docs: DataFrame, text: str, key: str) -> DataFr
     held = docs.sparkSession.sparkContext.broadcast(Filter(wanted, "own").array())
 
     def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -179,41 +174,57 @@ def bodies_of(wanted: DataFrame, docs: DataFrame, text: str, key: str) -> DataFr
     return written(found.join(wanted, "own").groupBy("id").agg(F.first("body").alias("body")), "bodies")
 
 
-def compared(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
-    """Of the pairs (a, b), written: those whose shingle sets have a Jaccard similarity of `least`."""
-    shown = pairs.join(bodies.select(F.col("id").alias("b"), F.col("body").alias("text_b")), "b")
-    shown = shown.join(bodies.select(F.col("id").alias("a"), F.col("body").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+def weighted(text: str, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, weights) of the distinct shingles of one text's words, sorted."""
+    h = np.sort(shingles([text.split(" ")], hashes)[1])
+    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[at], weight_of(np.diff(np.append(at, len(h))))
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        last, known = None, None
-        for batch in batches:
-            a, on = batch.column(0).to_pylist(), []
-            for k in range(len(a)):
-                if a[k] != last:
-                    last, known = a[k], np.unique(shingles([batch.column(2)[k].as_py().split(" ")], hashes)[1])
-                other = np.unique(shingles([batch.column(3)[k].as_py().split(" ")], hashes)[1])
-                both = len(np.intersect1d(known, other, assume_unique=True)) if min(len(known), len(other)) >= least * max(len(known), len(other)) else 0
-                on.append(both >= least * (len(known) + len(other) - both))
-            mask = pa.array(on, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    return written(shown.mapInArrow(of, "a long, b long"), "verified")
+def similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], least: float) -> float:
+    """The larger of the plain and the probability Jaccard similarity of (hashes, weights), each hash once, sorted;
+    0 if both are below `least`.
+
+    The probability Jaccard similarity of shares p and q sums, over common hashes i, 1 / sum_j max(p_j / p_i, q_j / q_i).
+    In order of q_j / p_j, the larger one is the first up to i and the second after it.
+    """
+    at = np.minimum(np.searchsorted(x[0], y[0]), len(x[0]) - 1)
+    at2 = np.flatnonzero(x[0][at] == y[0])
+    at = at[at2]
+    plain = len(at) / (len(x[0]) + len(y[0]) - len(at))
+    if plain >= least or not len(at):
+        return plain if plain >= least else 0.0
+    p, q = x[1] / x[1].sum(), y[1] / y[1].sum()
+    pi, qi = p[at], q[at2]
+    if np.minimum(pi, qi).sum() < least:  # which is a bound
+        return 0.0
+    order = np.argsort(qi / pi)
+    pi, qi = pi[order], qi[order]
+    # Hashes of x alone count by p everywhere, those of y alone by q.
+    first, second = np.cumsum(pi) + (1 - pi.sum()), np.cumsum(qi[::-1])[::-1] - qi + (1 - qi.sum())
+    probability = float((1 / (first / pi + second / qi)).sum())
+    return probability if probability >= least else 0.0
 
 
-def profiles(bodies: DataFrame) -> DataFrame:
-    """(id, n, bits) of each body, see similar.bit_sets()."""
+def compared(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
+    """Of the written pairs (a, b), links (b, a), written, that connect those whose similarity() is at least
+    `least`."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         hashes = WordHashes()
+        last, known, found = None, None, []
+
         for batch in batches:
-            texts = [x.as_py().split(" ") for x in batch.column(1)]
-            for a, b in chunks(texts):
-                owner, h, _ = distinct(*shingles(texts[a:b], hashes))
-                n, bits = bit_sets(owner, h, b - a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(list(bits), pa.list_(pa.int64()))], ["id", "n", "bits"])
+            a, on = batch.column(0).to_pylist(), []
+            for k in range(len(a)):
+                if a[k] != last:
+                    last, known = a[k], weighted(batch.column(2)[k].as_py(), hashes)
+                on.append(similarity(known, weighted(batch.column(3)[k].as_py(), hashes), least) > 0)
+            found.append((batch.column(0).to_numpy()[on], batch.column(1).to_numpy()[on]))
+        yield from told_links(found, ["b", "a"])
 
-    return bodies.select("id", "body").mapInArrow(of, "id long, n long, bits array<long>")
+    return written(with_texts(pairs, bodies).mapInArrow(of, "b long, a long"), "verified")
 
 
 def classes_of(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -230,13 +241,12 @@ def classes_of(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tupl
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = LEAST) -> DataFrame:
     """One row for each row of docs: doc_id, class_id, class_size, kept.
 
-    class_id is the smallest key of the documents that are linked, directly or through others, by a similarity of
+    class_id is the smallest key of the documents that are linked, directly or through others, by a similarity() of
     `least` or more; the document with it stays. A null key counts as larger than any other; of rows that repeat
     key and text, one stays. Texts without words (null, empty) are one class; a text of fewer than five words is
     one shingle. An empty table gives no rows. Other columns are not read.
     """
     rows, classes = classes_of(docs, text, key)
-    keyed = classes.select("id", F.explode("keys").alias("key"))
     own = written(classes.select("id", "own"), "own")
     kept: list[DataFrame] = []
 
@@ -248,7 +258,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", le
             kept.append(bodies(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()))
         return compared(pairs, kept[0], least)
 
-    parts = linked_parts(keyed, verify, lambda ids: profiles(kept[0].join(ids, "id", "left_semi")), least)
+    parts = linked_parts(classes.select(F.array("id").alias("ids"), "keys"), Similarity(verify, lambda: kept[0], lambda bodies: shingles([x.split(" ") for x in bodies], WordHashes()), least, weighted=True))
     named = written(classes.select("id", "sha", "size", "first").join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")), "named")
     best = F.struct(F.col("first").isNull().alias("none"), F.col("first"), F.col("id"))
     whole = written(named.groupBy("part").agg(F.min(best).alias("best"), F.sum("size").alias("class_size"), F.count("*").alias("n")), "whole")
