@@ -1,4 +1,5 @@
 import re
+import time
 
 from tidemark.llm import decontaminate
 
@@ -70,3 +71,16 @@ def test_empty_tables(spark):
     docs, items = tables(spark)
     assert decontaminate.scan(docs.limit(0), items).collect() == []
     assert not any(r.contaminated for r in decontaminate.scan(docs, items.limit(0)).collect())
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    bench = spark.createDataFrame([(1, LONG)], "item_id long, text string")
+    took = []
+    for n in (40_000, 40_000, 160_000):
+        text = " ".join("w1 w2 w3 w4 w5 w6 w7 w8 w9 w10" if k % 1000 == 0 else f"x{k}" for k in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.monotonic()
+        (row,) = decontaminate.scan(docs, bench).collect()
+        took.append(time.monotonic() - began)
+        assert (row.n_words, row.n_hit, row.n_items, len(row.spans)) == (n + 9 * (n // 1000), 10 * (n // 1000), 1, n // 1000)
+    assert took[2] < 8 * took[1] + 2
