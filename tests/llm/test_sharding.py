@@ -32,3 +32,10 @@ def test_few_rows_and_none(spark):
     got = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len({r.shard for r in got}) == 3 and all(r.slot == 0 for r in got)
     assert sharding.shard_rows(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_a_cell_larger_than_a_run_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN_ROWS", 2)
+    monkeypatch.setattr(sharding, "HEAVY", 40)
+    rows = [(k, "same" if k % 3 == 0 else f"t{k}") for k in range(3000)]
+    check(sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string"), shards=5).collect(), rows, 5)

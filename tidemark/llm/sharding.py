@@ -21,21 +21,26 @@ ROUNDS = 6
 LEAVING = 0.8
 #: A shard may hold so many times its even share while labels move.
 SLACK = 1.02
-#: Runs into which the rows of a shard are split to rank them in parallel.
-RUNS = 64
+#: Runs into which the rows of a shard are split to rank them in parallel, at least, and rows of a run on average.
+RUNS, RUN_ROWS = 64, 1_000_000
+#: A cell of at least a HEAVY-th of all rows is heavy; so there are at most HEAVY of them.
+HEAVY = 1000
 
 
 def propagate(cells: DataFrame, free: DataFrame, shards: int, total: int, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
     """cells (link, start, n, shard) with the shard after the rounds. free: (shard, rows) that never move.
 
-    Cells of a link move to the shard that holds most of its rows (of equals, one by hash, so that no shard draws more), but only as many
-    into a shard as its quota has room for: slack times the even share, less what it holds and will not lose.
+    Cells of a link move to the shard that holds most of its rows (of equals, one by hash, so that no shard draws
+    more), but only as many into a shard as its quota has room for: slack times the even share, less what it holds
+    and will not lose. Rounds end early once no cell wants to move.
     """
     quota = total / shards * slack
     for k in range(rounds):
         held = cells.groupBy("link", "shard").agg(F.sum("n").alias("n"))
         best = held.groupBy("link").agg(F.max(F.struct("n", F.xxhash64("link", "shard").alias("draw"), "shard")).alias("best")).select("link", F.col("best.shard").alias("to"))
         moves = written(cells.join(best, "link"), "moves")
+        if moves.filter("to != shard").isEmpty():
+            return cells
         loads = moves.groupBy("shard").agg(F.sum("n").alias("linked")).join(free, "shard", "full").select("shard", (F.coalesce("linked", F.lit(0)) + F.coalesce("rows", F.lit(0))).alias("load"))
         inflow = moves.filter("to != shard").groupBy("to").agg(F.sum("n").alias("inflow"))
         outflow = moves.filter("to != shard").groupBy(F.col("shard").alias("to")).agg(F.sum("n").alias("outflow"))
@@ -69,15 +74,23 @@ def shard_rows(df: DataFrame, shards: int = 40, text: str = "text", key: str = "
     cells = written(cells.withColumn("of", several), "starts")
     linked = cells.filter("of > 1").drop("of").withColumn("shard", F.col("start"))
     free = cells.filter("of = 1").groupBy(F.col("start").alias("shard")).agg(F.sum("n").alias("rows"))
-    ended = propagate(linked, written(free, "free"), shards, total, rounds).select("link", "start", F.col("shard").alias("label"))
-    placed = rows.join(ended, ["link", "start"], "left")
+    ended = propagate(linked, written(free, "free"), shards, total, rounds).select("link", "start", "n", F.col("shard").alias("label"))
+    # Heavy cells are looked up by broadcast, all others by a shuffle.
+    heavy = max(2, total // HEAVY)
+    with_heavy = rows.join(F.broadcast(ended.filter(F.col("n") > heavy)), ["link", "start"], "left")
+    rest = with_heavy.filter("label IS NULL").drop("n", "label").join(ended.filter(F.col("n") <= heavy), ["link", "start"], "left")
+    placed = with_heavy.filter("label IS NOT NULL").unionByName(rest)
     is_linked = F.col("label").isNotNull()
-    # Unlinked rows stand at both ends of a label's run, so the cuts fall among them.
+    # Unlinked rows stand at both ends of a label's run, so the cuts fall among them. Linked ones stand together, but
+    # for a cell that is larger than a run.
     part = F.when(is_linked, 1).when(bucket(2, F.col("row"), F.lit(11)) == 0, 0).otherwise(2)
-    run = F.when(is_linked, bucket(RUNS, F.col("link"), F.col("start"))).otherwise(bucket(RUNS, F.col("row"), F.lit(13)))
+    runs = max(RUNS, total // (shards * RUN_ROWS))
+    pieces = F.ceil(F.col("n") / max(1, total // (shards * runs)))
+    piece = F.pmod(F.xxhash64("row", F.lit(17)), pieces)
+    run = F.when(is_linked, bucket(runs, F.col("link"), F.col("start"), piece)).otherwise(bucket(runs, F.col("row"), F.lit(13)))
     placed = written(placed.select("doc_id", "size", "text_crc32", "link", "row", F.coalesce("label", "start").alias("label"), part.alias("part"), run.alias("run"), is_linked.alias("linked")), "placed")
     at = ["label", "part", "run"]
-    # At most shards * 3 * RUNS rows, whatever the input.
+    # shards * 3 * RUNS rows at most, or one for RUN_ROWS / 3 rows of the input.
     counts = placed.groupBy(*at).agg(F.count("*").alias("here"))
     before = counts.select(*at, (F.sum("here").over(Window.orderBy(*at)) - F.col("here")).alias("before"))
     rank = F.row_number().over(Window.partitionBy(*at).orderBy("link", "row")) - 1
