@@ -13,9 +13,7 @@ TEXTS = ["", None, "one", "two two", "Ünïcode 日本語 🙂 á", " \n\t  x "
 
 
 def slow():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_ids_are_those_of_tokenizers():
@@ -60,7 +58,9 @@ def test_plan_uses_each_piece_once_and_packs_well():
     assert bins <= least * 1.03
 
 
-def test_round_trip(spark):
+@pytest.mark.parametrize("run_rows", [packing.RUN_ROWS, 2])
+def test_round_trip(spark, monkeypatch, run_rows):
+    monkeypatch.setattr(packing, "RUN_ROWS", run_rows)
     rows = [(k if k % 5 else None, x, "clash", "clash") for k, x in enumerate(TEXTS * 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, piece string, length string")
     got = packing.pack(df, PATH).collect()

@@ -1,7 +1,7 @@
 """Best-fit packing by minimum bin slack.
 
 Documents are tokenised where they lie and cut into pieces. Only the number of pieces of each length goes to the
-driver: fewer counts than a sequence has tokens, times RUNS, whatever the input. There, each sequence starts from the
+driver: fewer counts than a sequence has tokens, whatever the input. There, each sequence starts from the
 longest piece left, and a subset-sum dynamic programme over a bitset finds the combination of the lengths still
 available that fills it most; that combination is removed as often as the counts allow. Executors then look up
 the place of each piece by its rank among the pieces of its length.
@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import bucket, written
+from .common import settle, written
 
 SEQUENCE = 1024
 END_ID = 2
-#: Runs into which the pieces of a length are split to rank them in parallel.
-RUNS = 32
+#: Pieces of a length that are ranked together: a length is split into as many runs as it takes.
+RUN_ROWS = 1000
 #: Texts whose pieces are sent on at once.
 BATCH = 64
 _PIECE = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())]
@@ -36,7 +36,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 @functools.cache
-def encoder(path: str, added: bool = False):
+def encoder(path: str, added: bool = True):
     """encode(text) -> ids, for a byte-level BPE vocabulary file of the library tokenizers.
 
     The file's vocabulary and merges run in tiktoken, which gives the same ids in a quarter of the time (tests
@@ -70,12 +70,13 @@ def cut(n: int, most: int) -> list[tuple[int, int]]:
     return [(0, min(n, first)), *((s, most) for s in range(first, n, most))]
 
 
-def tokenised(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", most: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = True, added: bool = False) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", most: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = True, added: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, with_ids, ids (little-endian unsigned 32-bit) of each piece."""
     kind = docs.schema[key].dataType
     schema = T.StructType([T.StructField("doc_id", kind), *[T.StructField(c, t) for c, t in _PIECE], *([T.StructField("ids", T.BinaryType())] if with_ids else [])])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         encode = encoder(tokenizer, added)
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
@@ -151,7 +152,7 @@ def places(steps: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
     return {k: np.array(v, dtype=np.int64) for k, v in rows.items()}
 
 
-def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", most: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = True, added: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", most: int = SEQUENCE, end_id: int = END_ID, with_ids: bool = True, added: bool = True) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset and, with_ids, ids.
 
     Null and empty texts have the end id alone. Rows that repeat a key are documents of their own; null keys stay
@@ -162,32 +163,35 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
     rows = written(tokenised(docs, tokenizer, text, key, most, end_id, with_ids, added), "pieces")
     told = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     full = rows.filter(F.col("length") == most).select(*told, (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    short = rows.filter(F.col("length") < most).withColumn("run", bucket(RUNS, F.col("doc_id"), F.col("piece"), F.col("ids_crc32")))
-    counts = {(r[0], r[1]): r[2] for r in short.groupBy("length", "run").count().collect()}  # at most most * RUNS rows
-    by_length: dict[int, int] = {}
-    before: dict[int, list[int]] = {}
-    for length in sorted({k for k, _ in counts}):
-        own = [counts.get((length, r), 0) for r in range(RUNS)]
-        before[length] = [0, *np.cumsum(own).tolist()]
-        by_length[length] = sum(own)
+    # Numbers of a written table's rows: a task that runs again numbers alike.
+    short = rows.filter(F.col("length") < most).withColumn("row", F.monotonically_increasing_id())
+    by_length = {r[0]: r[1] for r in short.groupBy("length").count().collect()}  # fewer rows than a sequence has tokens
     where = places(plan(by_length, most))
-    # Pieces that tie in this order are the same row, so a task that runs again ranks alike.
-    rank = F.row_number().over(Window.partitionBy("length", "run").orderBy("doc_id", "piece", "ids_crc32", "start"))
+    spark = docs.sparkSession
+    runs = spark.createDataFrame([(k, max(1, -(-v // RUN_ROWS))) for k, v in by_length.items()], "length long, runs long")
+    short = short.join(F.broadcast(runs), "length").withColumn("run", F.pmod(F.xxhash64("row"), F.col("runs"))).drop("runs")
+    run = Window.partitionBy("length", "run")
+    before = short.groupBy("length", "run").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("length").orderBy("run"))
+    before = before.select("length", "run", (upto - F.col("n")).alias("before"))
+    ranked = short.withColumn("rank", F.row_number().over(run.orderBy("row"))).join(before, ["length", "run"])
+    ranked = ranked.select(*told, (F.col("before") + F.col("rank") - 1).alias("rank"))
     schema = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
-            lengths, runs, ranks = (batch.column(c).to_numpy() for c in ("length", "run", "rank"))
+            lengths, ranks = (batch.column(c).to_numpy() for c in ("length", "rank"))
             sequence, offset = np.empty(len(lengths), dtype=np.int64), np.empty(len(lengths), dtype=np.int64)
             order = np.argsort(lengths, kind="stable")
             for own in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if len(order) else []:
                 length = int(lengths[own[0]])
                 table = where[length]
-                n = ranks[own] - 1 + np.array(before[length])[runs[own]]
+                n = ranks[own]
                 start, k, first, base = table[np.searchsorted(table[:, 0], n, side="right") - 1].T
                 sequence[own] = first + (n - start) // k
                 offset[own] = base + (n - start) % k * length
             columns = [batch.column(c) for c in told]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], schema.names)
 
-    return full.unionByName(short.withColumn("rank", rank).select(*told, "run", "rank").mapInArrow(placed, schema))
+    return full.unionByName(ranked.mapInArrow(placed, schema))
