@@ -80,3 +80,41 @@ def test_names_inside_articles(spark):
     assert text(f"<article>{kept}{read}<div class='share-box'>z</div></article>") == "a\n\nb\n\nc\n\nd\n\ne\n\nx\n\no\n\nn\n\ns\n\nz"
     got = told(spark, [("a", f"<article><p>own {k}</p><div class='share-box'>share {k}</div><div id='comments'>hi</div></article>") for k in range(20)])
     assert all(got[k] == f"own {k}" for k in range(20))
+
+
+def test_attributes_are_read_by_name(spark):
+    kept = '<p style="overflow:hidden">a</p><p data-hidden="false">b</p><div title="hidden">c</div><header><h1>d</h1></header>'
+    assert text(f"<article>{kept}<p hidden>x</p><p aria-hidden='true'>y</p><p aria-hidden=false>e</p></article>") == "a\n\nb\n\nc\n\nd\n\ne"
+    got = told(spark, [("a", f"<article><header><h1>own {k}</h1></header><div class='share-price'>price {k}</div><section class='related-work'>work {k}</section></article>") for k in range(20)])
+    assert all(got[k] == f"own {k}\n\nprice {k}\n\nwork {k}" for k in range(20))
+
+
+def test_templates_against_counting_by_hand(spark):
+    """The subtrees that are taken for template are those that stand in enough different articles or pages."""
+    boxes = ["<div class='q'>Read more of our <b>long</b> stories every day</div>", "<div>two words</div>", "<div>rare words that stand in few pages</div>"]
+    pages = [("h", k, f"<article><p>text {k} of the page with the number {k}, in so many words</p>{boxes[0]}{boxes[1] if k % 3 == 0 else ''}{boxes[2] if k < 9 else ''}</article>") for k in range(40)]
+    pages += [("i", 100 + k, f"<body><p>own {k} words</p>{boxes[k % 3]}</body>") for k in range(12)]
+    df = spark.createDataFrame([(k, f"https://{h}/{k}", p) for h, k, p in pages], "page_id long, url string, html string")
+    counts, totals, long = {}, {}, {}
+    for h in ("h", "i"):
+        own = [p for x, _, p in pages if x == h]
+        totals[h] = len({X._texts(X.parse(p)) for p in own})
+        for p in own:
+            for code, _, where, n in X.subtrees(X.parse(p))[0]:
+                counts.setdefault((h, code), set()).add(X._texts(where))
+                long[h, code] = n >= X.LONG
+    want = {k for k, v in counts.items() if len(v) >= X.PAGES and (long[k] or len(v) >= X.SHARE * totals[k[0]])}
+    got = {(r.host, x) for r in X.templates(df).collect() for x in r.hashes}
+    assert got == want and want
+    told = {r.page_id: r.text for r in X.extract(df).collect()}
+    for _, k, p in pages:
+        with_all = X.main_text(X.parse(p))
+        assert told[k] == X.main_text(X.parse(p), {x for h, x in want if (k < 100) == (h == "h")})
+        assert ("Read more" in with_all) and "Read more" not in told[k] if k < 100 else True
+
+
+def test_long_pages_and_repeated_rows(spark):
+    page = "<article>" + "".join(f"<p>paragraph {k} é</p>" for k in range(20_000)) + "</article>"
+    df = spark.createDataFrame([(1, "https://a/1", page), (1, "https://a/1", page), (2, "https://a/2", "<p>x</p>")], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.text) for r in X.extract(df).collect())
+    assert got == [(1, "\n\n".join(f"paragraph {k} é" for k in range(20_000)))] * 2 + [(2, "x")]

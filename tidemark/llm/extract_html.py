@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bucket, written
+from .common import bucket, settle, written
 
 #: A subtree is template if it is on at least so many pages of its host with different texts (inside articles: in
 #: so many different articles), and either on this share of them or of at least LONG words.
@@ -41,11 +41,16 @@ GONE_ROLES = ["navigation", "banner", "contentinfo", "complementary", "search",
 GONE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|nav\w*|menus?|breadcrumbs?|sidebar\w*|aside|footer|site-?header|masthead|cookies?|consent|gdpr|notices?|banner|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|respond|disqus\w*|reader-?comments?|form)(?:$|[\s_-])"
 )
+#: A class inside an article is listed if it is one of these names, alone or as what such a thing is made of.
+PARTS = "area|articles?|banner|bar|block|box|buttons?|container|form|icons?|links?|list|notice|panel|popup|posts?|section|signup|slot|tools?|unit|widget|wrap|wrapper"
+IN_ARTICLE = re.compile(
+    r"(?:^|\s)(?:ads?|advert\w*|sponsor\w*|promos?|promotion|nav|navigation|menus?|breadcrumbs?|sidebar|footer|cookies?|consent|gdpr|notices?|banner|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend(?:ed|ations?)|form)(?:[_-](?:" + PARTS + r"))*(?:$|\s)"
+)
 #: Names of reader comments, which differ from page to page; those of a container inside an article.
 COMMENTS = re.compile(r"(?:^|\s)(?:comments?|respond|disqus\w*|reader-?comments?)(?:$|\s)")
-CONTAINERS = ["aside", "details", "div", "dl", "figure", "ol", "section", "table", "ul"]
-#: Elements whose text is read inside an article.
-READ = ["noscript", "svg", "math", "object"]
+CONTAINERS = ["aside", "details", "div", "dl", "figure", "header", "ol", "section", "table", "ul"]
+#: Elements whose text is read inside an article, where a header is the article's own unless it recurs.
+READ = ["header", "noscript", "svg", "math", "object"]
 #: An element that is closed when one of these starts in it.
 CLOSES = {"li": ["li"], "dt": ["dt", "dd"], "dd": ["dt", "dd"], "tr": ["tr", "td", "th"], "td": ["td", "th"], "th": ["td", "th"], "option": ["option"]}
 
@@ -53,7 +58,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)",
     re.S,
 )
-_NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|\bhidden\b|\baria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>", re.I) for t in RAW}
 _BLOCK, _VOID, _GONE, _RAW = frozenset(BLOCK), frozenset(VOID), frozenset(GONE), frozenset(RAW)
 _CONTAINERS, _READ = frozenset(CONTAINERS), frozenset(READ)
@@ -71,16 +76,23 @@ class _Element:
         self.parts: list = []
 
 
+def _attributes(told: str) -> Iterator[tuple[str, str]]:
+    """(name, value) of the attributes that tell what an element is, in lower case."""
+    for m in _ATTRIBUTE.finditer(told):
+        name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        if name in ("class", "id", "role", "hidden") or (name == "aria-hidden" and value == "true"):
+            yield name, value
+
+
 def _boilerplate(tag: str, attributes: str) -> bool:
     if tag in _GONE:
         return True
     if not attributes or tag in _ROOTS or tag in ("body", "html"):
         return False
-    for m in _NAMES.finditer(attributes):
-        if not m[1]:
+    for name, value in _attributes(attributes):
+        if name.endswith("hidden"):
             return True
-        value = m[2].strip("\"'").lower()
-        if value in GONE_ROLES if m[1].lower() == "role" else GONE_NAMES.search(value):
+        if value in GONE_ROLES if name == "role" else GONE_NAMES.search(value):
             return True
     return False
 
@@ -92,16 +104,14 @@ def _in_article(tag: str, attributes: str) -> tuple[bool, str]:
     named = ""
     if not attributes or tag in _ROOTS or tag in ("body", "html"):
         return False, named
-    for m in _NAMES.finditer(attributes):
-        if not m[1]:
+    for name, value in _attributes(attributes):
+        if name.endswith("hidden"):
             return True, ""
         if tag not in _CONTAINERS:
             continue
-        value = m[2].strip("\"'").lower()
-        kind = m[1].lower()
-        if value in GONE_ROLES if kind == "role" else COMMENTS.search(value):
+        if value in GONE_ROLES if name == "role" else COMMENTS.search(value):
             return True, ""
-        if kind == "class" and GONE_NAMES.search(value):
+        if name == "class" and IN_ARTICLE.search(value):
             named = value
     return False, named
 
@@ -264,7 +274,7 @@ def _blocks(roots: list[_Element], by_tag: bool) -> list[str]:
                 run.append(e)
             elif e is None:
                 end()
-            elif e.tag in _GONE if by_tag else e.gone and e is not root:
+            elif (e.tag in _GONE and not (e.inside and e.tag in _READ)) if by_tag else e.gone and e is not root:
                 if e.tag in _BLOCK:
                     end()
             elif e.tag == "br":
@@ -302,6 +312,7 @@ def templates(pages: DataFrame, markup: str = "html", url: str = "url", least: i
     one = pa.struct([("hash", pa.int64()), ("place", pa.int64()), ("long", pa.bool_())])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
             own = [[{"hash": h, "place": w, "long": n} for h, w, n in sorted(counted(parse(x.as_py() or "")))] for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(one))], ["host", "seen"])
@@ -335,6 +346,7 @@ def extract(pages: DataFrame, markup: str = "html", url: str = "url", text: str
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField(text, T.StringType())])
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         for batch in batches:
             known: dict[bytes, set[int]] = {}
             texts = []
