@@ -17,10 +17,10 @@ def held_out(key: Column) -> Column:
 def sampled(docs: DataFrame, labels: DataFrame, label: str, most: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(label, text) of at most `most` documents that have a label 0 or 1 and are not held out.
 
-    Of more, those with the smallest key hashes. A key with several labels counts by its largest; rows that repeat
-    a key count once. The ids broadcast are at most `most`.
+    Of more, those with the smallest key hashes. A key with several labels counts by its largest; of rows that repeat
+    a key, the one with the least text counts. The ids broadcast are at most `most`.
     """
     ids = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out(F.col("k")))
     ids = ids.groupBy("k").agg(F.max("label").alias("label")).orderBy(F.xxhash64("k"), "k").limit(most)
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.join(F.broadcast(ids), "k").dropDuplicates(["k"]).select("label", "text")
+    return rows.join(F.broadcast(ids), "k").groupBy("k", "label").agg(F.min("text").alias("text")).select("label", "text")
