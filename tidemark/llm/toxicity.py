@@ -5,9 +5,9 @@ characters, the sum of DECAY ** span over all its occurrences as a subsequence.
 inserted or left out stays near the insult. Characters fall into 64 classes, so the map has 64 ** 3 features.
 
 A text is a bag of units: its words without marks, and runs of single characters joined; it is scored by these and
-by neighbouring words of a sentence joined, so that an insult split by blanks is whole again. Multiple-instance
-learning starts from sentence labels (those of their documents), takes in each toxic document the unit that the
-machine finds worst, and fits again. As the decision is linear in the kernels with the landmarks, it is one
+by neighbouring words of a sentence joined, so that an insult split by blanks is whole again. Sentences, with the
+labels of their documents, are the bags of multiple-instance learning: it starts from the units that tell toxic
+sentences apart, takes in each toxic document without any the unit that the machine finds worst, and fits again. As the decision is linear in the kernels with the landmarks, it is one
 table over the features: a unit is scored in time that its own subsequences take, however many landmarks.
 """
 
@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
 from .labelled import held_out, sampled
 
 #: Labelled documents to learn from, at most.
@@ -36,6 +37,8 @@ NEGATIVES = 20_000
 WORST, LEAST_LIFT = 3, 8.0
 #: Decision value from which a unit without that lift is one.
 NEAR = -0.5
+#: Margins that are tried for windows; the last one is beyond what any decides.
+MARGINS = [*(x / 4 for x in range(17)), 100.0]
 DECAY = 0.7
 CLASSES = 64
 #: Units longer than this are scored by overlapping pieces of this length.
@@ -151,6 +154,8 @@ class Model:
     bias: float
     slope: float
     shift: float
+    #: By how much a window must decide more than a unit to count as much.
+    margin: float = 0.0
 
     def decide(self, words: list[str]) -> np.ndarray:
         """The machine's decision value of each unit; of a long one, that of its worst piece."""
@@ -222,25 +227,37 @@ def table_of(marks: list[str], beta: np.ndarray) -> np.ndarray:
     return table.astype(np.float32)
 
 
-def fit(texts: list[str], labels: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 3, bodies: list[str] | None = None) -> Model:
-    """From labelled documents, as bags of the units of their sentences; equal bags count once.
+def bag(sentence: str) -> tuple[str, ...]:
+    """The pieces of the units of a sentence, each once, in order."""
+    return tuple(sorted({p for u in units(sentence) for p in _pieces(u)}))
 
-    bodies: the texts as written, whose windows count where the scores are fixed.
-    Without both labels, every document scores 0.
+
+def fit(texts: list[str], labels: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 3, sentences: list[list[list[str]]] | None = None) -> Model:
+    """From labelled documents, by their sentences, which have the labels of their documents; equal sentences count
+    once, and as clean if they stand in a clean document.
+
+    sentences: the bag() of each sentence of each text, where they are known. Without both labels, every document
+    scores 0.
     """
     none = Model(np.zeros(CLASSES**3, dtype=np.float32), 0.0, 1.0, np.inf)
+    if sentences is None:
+        sentences = [[bag(s) for s in SENTENCES.split(t)] for t in texts]
     same: dict[str, str] = {}
-    own = [tuple(sorted({same.setdefault(p, p) for s in SENTENCES.split(t) for u in units(s) for p in _pieces(u)})) for t in texts]
-    bags = {bag: int(y) for bag, y in zip(own, labels, strict=True)}
-    body = dict(zip(own, bodies or texts, strict=True))
-    bags.pop((), None)
-    labels = np.array(list(bags.values()))
+    own = [[b for b in (tuple(same.setdefault(p, p) for p in s) for s in doc) if b] for doc in sentences]
+    known = [k for k, doc in enumerate(own) if doc]
+    texts, labels, own = [texts[k] for k in known], np.array([int(labels[k]) for k in known]), [own[k] for k in known]
     if not len(labels) or labels.sum() in (0, len(labels)):
         return none
+    bags: dict[tuple[str, ...], int] = {}
+    for doc, label in zip(own, labels.tolist(), strict=True):
+        for b in doc:
+            bags[b] = min(label, bags.get(b, 1))
     toxic, clean = Counter(), Counter()
-    for bag, label in bags.items():
-        (toxic if label else clean).update(bag)
-    n_toxic, n_clean = int(labels.sum()), int(len(labels) - labels.sum())
+    for b, label in bags.items():
+        (toxic if label else clean).update(b)
+    n_toxic, n_clean = sum(bags.values()), len(bags) - sum(bags.values())
+    if not n_toxic or not n_clean:
+        return none
     # Log odds of a unit, shrunk and times the root of its count: how surely it tells toxic documents apart.
     lift = {u: (np.log((k + 0.1) / (n_toxic + 0.2)) - np.log((clean[u] + 0.1) / (n_clean + 0.2))) * np.sqrt(k) for u, k in toxic.items()}
     ranked = sorted(lift, key=lambda u: (-lift[u], u))[: landmarks * 2]
@@ -263,17 +280,15 @@ def fit(texts: list[str], labels: np.ndarray, landmarks: int = LANDMARKS, rounds
     belief = {u: lift.get(u, -9.0) for u in vocabulary}
     model = none
     for turn in range(rounds):
-        # The reasons of a toxic document are units that surely tell such documents apart; one without any gives
-        # its worst unit, if the machine finds that near those.
+        # The reasons of a toxic sentence are units that surely tell such sentences apart; a document without any
+        # gives its worst unit, if the machine finds that near those.
         positive: Counter = Counter()
-        for bag, label in bags.items():
+        for doc, label in zip(own, labels.tolist(), strict=True):
             if label:
-                ranks = sorted(bag, key=lambda u: (-belief[u], u))
-                sure = [u for u in ranks if lift[u] > LEAST_LIFT][:WORST]
-                positive.update(sure or [u for u in ranks[:1] if turn and u not in clean and belief[u] > NEAR])
-        positive = positive or Counter(max(bag, key=lambda u: (lift[u], u)) for bag, label in bags.items() if label)
-        if not positive:
-            return none
+                sure = [u for b in set(doc) if bags[b] for u in sorted((u for u in b if lift[u] > LEAST_LIFT), key=lambda u: (-belief[u], u))[:WORST]]
+                rest = min((u for b in doc for u in b), key=lambda u: (-belief[u], u))
+                positive.update(sorted(set(sure)) or ([rest] if turn and rest not in clean and belief[rest] > NEAR else []))
+        positive = positive or Counter(max(b, key=lambda u: (lift[u], u)) for b, label in bags.items() if label)
         rows = [*sorted(positive), *sorted(negative - positive.keys())]
         y = np.where(np.arange(len(rows)) < len(positive), 1.0, -1.0)
         weight = np.array([min(30.0, positive[u]) if u in positive else min(10.0, clean[u]) for u in rows])
@@ -283,19 +298,26 @@ def fit(texts: list[str], labels: np.ndarray, landmarks: int = LANDMARKS, rounds
         decided = model.decide(vocabulary)
         belief = dict(zip(vocabulary, decided.tolist(), strict=True))
         negative |= {u for u in sorted(clean, key=lambda u: (-belief[u], u))[: NEGATIVES // 4] if belief[u] > -1}
-    worst = np.array([max(belief[u] for u in bag) for bag in bags])
-    written, step = [body[bag] for bag in bags], 256
-    worst = np.concatenate([with_windows(model, written[at : at + step], worst[at : at + step]) for at in range(0, len(bags), step)])
-    model.slope, model.shift = platt(worst, labels)
+    worst, step = np.array([max(belief[u] for b in doc for u in b) for doc in own]), 256
+    more = np.concatenate([with_windows(model, texts[at : at + step], worst[at : at + step]) for at in range(0, len(texts), step)])
+    # Windows are many and not learned from: they count less by the margin that leaves the fewest errors.
+    wrong = [errors(np.maximum(worst, more - m), labels)[0].min() for m in MARGINS]
+    model.margin = MARGINS[int(np.argmin(wrong))]
+    model.slope, model.shift = platt(np.maximum(worst, more - model.margin), labels)
     return model
 
 
-def platt(value: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """slope and shift of the logistic curve of y over value, the cut at the fewest errors."""
+def errors(value: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(errors, edges): the wrong documents if those above the middle of edges k and k + 1 count as toxic."""
     order = np.argsort(value, kind="stable")
     v, t = value[order], y[order]
     wrong = np.concatenate([[0], np.cumsum(t == 1)]) + (t == 0).sum() - np.concatenate([[0], np.cumsum(t == 0)])
-    edges = np.concatenate([[v[0] - 1], v, [v[-1] + 1]])
+    return wrong, np.concatenate([[v[0] - 1], v, [v[-1] + 1]])
+
+
+def platt(value: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """slope and shift of the logistic curve of y over value, the cut at the fewest errors."""
+    wrong, edges = errors(value, y)
     best = np.flatnonzero(wrong == wrong.min())
     shift = float((edges[best[len(best) // 2]] + edges[best[len(best) // 2] + 1]) / 2)
     slope = 2.0
@@ -307,15 +329,19 @@ def platt(value: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = LEARN_FROM, text: str = "text", key: str = "doc_id") -> Model:
-    """From at most `most` labelled documents that are not held out; they and their distinct units go to the driver."""
+    """From at most `most` labelled documents that are not held out; they and the bags of their sentences go to the
+    driver."""
 
     def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        settle()
         for batch in batches:
-            yield pd.DataFrame({"label": batch["label"], "text": ["\n".join(sorted(units(t))) for t in batch["text"]], "body": batch["text"]})
+            bags = ["\n".join(" ".join(b) for b in dict.fromkeys(map(bag, SENTENCES.split(t))) if b) for t in batch["text"]]
+            yield pd.DataFrame({"label": batch["label"], "text": batch["text"], "bags": bags})
 
-    rows = sampled(docs, labels, "toxic", most, text, key).mapInPandas(told, "label int, text string, body string").toPandas()
-    rows = rows.sort_values(["label", "text", "body"])
-    return fit(rows["text"].tolist(), rows["label"].to_numpy(), bodies=rows["body"].tolist())
+    rows = sampled(docs, labels, "toxic", most, text, key).mapInPandas(told, "label int, text string, bags string").toPandas()
+    rows = rows.drop_duplicates(["label", "bags"]).sort_values(["label", "bags", "text"])
+    sentences = [[s.split(" ") for s in x.split("\n") if s] for x in rows["bags"]]
+    return fit(rows["text"].tolist(), rows["label"].to_numpy(), sentences=sentences)
 
 
 _seen: dict[str, float] = {}
@@ -336,20 +362,20 @@ def worst(model: Model, token: str, texts: pd.Series) -> np.ndarray:
 
 
 def with_windows(model: Model, texts: pd.Series, found: np.ndarray) -> np.ndarray:
-    """The larger of found and of the decision value of each text's worst window. Windows whose bound is lower are
-    not looked at closely."""
+    """The larger of found and of the decision value of each text's worst window, less the margin. Windows whose
+    bound is lower are not looked at closely."""
     if np.isinf(model.shift):
         return found
     found = found.copy()
     own = [list(windows(t)) for t in texts]
     number = {w: k for k, w in enumerate(set().union(*own))} if own else {}
     words = list(number)
-    bound = model.at_most(words)
+    bound = model.at_most(words) - model.margin
     for at, mine in enumerate(own):
         places = np.fromiter(map(number.__getitem__, mine), np.int64, len(mine))
         close = places[bound[places] > found[at]]
         if len(close):
-            found[at] = max(found[at], model.decide([words[k] for k in close]).max())
+            found[at] = max(found[at], model.decide([words[k] for k in close]).max() - model.margin)
     return found
 
 
@@ -362,6 +388,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", column: str = "sco
 
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        settle()
         for batch in batches:
             parts = [sent.value.score(worst(sent.value, token, batch.iloc[at : at + 256])) for at in range(0, len(batch), 256)]
             yield pd.Series(np.concatenate(parts) if parts else [], dtype="float64")
