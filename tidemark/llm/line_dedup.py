@@ -252,16 +252,17 @@ def _cut(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(of, schema)
 
 
-def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = LEAST) -> DataFrame:
-    """docs, all columns, with the text without the lines that go, and with n_lines and n_dropped.
+def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = LEAST, lines: str = "n_lines", gone: str = "n_dropped") -> DataFrame:
+    """docs, all columns, with the text without the lines that go, and with n_lines and n_dropped, or as `lines` and
+    `gone` name them.
 
     Lines are equal, or near each other at a similarity of `least`, after lower-casing and joining white space.
     Of each component of such lines the first by key and position stays; null keys come last, rows that repeat a
     key in an order of their own. Blank lines always stay and don't count. Null texts stay null, empty ones empty;
-    a text whose lines all go becomes empty. An empty table gives no rows. Columns of docs named n_lines or
-    n_dropped are replaced.
+    a text whose lines all go becomes empty. An empty table gives no rows. Columns of docs with the
+    names of these two are replaced.
     """
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    names = [c for c in docs.columns if c not in (lines, gone)]
     ids = docs.agg(F.count("*"), F.count(key), F.count_distinct(key)).first()
     if ids[0] == ids[2]:
         base = docs.withColumn(f"{P}row", F.col(key))
@@ -270,13 +271,13 @@ def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", least:
     rows = base.select(F.col(f"{P}row").alias("row"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
     dropped = dropped_lines(rows, least)
     n_lines = F.coalesce(F.regexp_count(text, F.lit(LINE)), F.lit(0)).cast("long")
-    base = base.select(*[F.col(f"`{c}`") for c in names], F.col(f"{P}row"), n_lines.alias("n_lines"), F.xxhash64(f"{P}row").alias(f"{P}hash"))
+    base = base.select(*[F.col(f"`{c}`") for c in names], F.col(f"{P}row"), n_lines.alias(lines), F.xxhash64(f"{P}row").alias(f"{P}hash"))
     # Only rows that may lose lines are shuffled.
     marked = Filter(dropped.select(F.xxhash64("row").alias("hash")), "hash").marked(base, f"{P}hash", f"{P}may")
-    told = [*[F.col(f"`{c}`") for c in names], "n_lines", "n_dropped"]
-    alone = marked.filter(~F.col(f"{P}may")).withColumn("n_dropped", F.lit(0).cast("long")).select(*told)
+    told = [*[F.col(f"`{c}`") for c in names], F.col(f"`{lines}`"), F.col(f"`{gone}`")]
+    alone = marked.filter(~F.col(f"{P}may")).withColumn(gone, F.lit(0).cast("long")).select(*told)
     # The small side is hashed, so the texts need no sorting.
     some = marked.filter(f"{P}may").join(dropped.select(F.col("row").alias(f"{P}row"), F.col("dropped").alias(f"{P}dropped")).hint("shuffle_hash"), f"{P}row", "left")
     others = [F.col(f"`{c}`") for c in names if c != text]
-    cut = _cut(some.select(F.struct(*others, "n_lines").alias(f"{P}all"), F.col(text).alias(text), f"{P}dropped"))
-    return alone.unionByName(cut.select(f"{P}all.*", text, "n_dropped").select(*told))
+    cut = _cut(some.select(F.struct(*others, F.col(f"`{lines}`")).alias(f"{P}all"), F.col(text).alias(text), f"{P}dropped"))
+    return alone.unionByName(cut.select(f"{P}all.*", text, F.col("n_dropped").alias(gone)).select(*told))
