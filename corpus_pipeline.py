@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, line_dedup, near_dedup, packing, quality
-from tidemark.llm.common import written
+from tidemark.llm.common import P, written
 from tidemark.llm.queries import tokenizer_path
 
 
@@ -26,10 +26,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of equal or near lines the first stays; n_chars follows the text. A document all of whose
     lines stand elsewhere goes; one that had no lines stays."""
-    done = line_dedup.line_dedup(docs)
-    done = done.filter((F.col("n_lines") == 0) | (F.col("n_dropped") < F.col("n_lines")))
+    done = line_dedup.line_dedup(docs, lines=f"{P}lines", gone=f"{P}gone")
+    done = done.filter((F.col(f"{P}lines") == 0) | (F.col(f"{P}gone") < F.col(f"{P}lines")))
     if "n_chars" in docs.columns:
-        changed = F.col("n_dropped") > 0
+        changed = F.col(f"{P}gone") > 0
         done = done.withColumn("n_chars", F.when(changed, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return done.select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -46,7 +46,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, as pieces in sequences, with their ids."""
-    return packing.pack(docs, tokenizer_path(), added=True)
+    return packing.pack(docs, tokenizer_path())
 
 
 STAGES = [("quality", keep_quality), ("line_dedup", drop_lines), ("near_dedup", drop_near), ("decontaminate", drop_leaks), ("packing", pack)]
