@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,13 +73,22 @@ _settled = False
 
 
 def settle() -> None:
-    """For Python workers, at the start of a task: what is loaded by then stays, so the garbage collection that
-    Spark runs after every task needn't look at it again, which would take longer than many a task."""
+    """For Python workers, at the start of a task: memory that earlier tasks have freed is given back, and what is
+    loaded by the first one stays, so the garbage collection that Spark runs after every task needn't look at it
+    again, which would take longer than many a task."""
     global _settled
     if not _settled:
         gc.collect()
         gc.freeze()
         _settled = True
+    pa.default_memory_pool().release_unused()
+    if trim := _libc_trim():
+        trim(0)
+
+
+@functools.cache
+def _libc_trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def bit(n: Column) -> Column:

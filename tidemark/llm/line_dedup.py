@@ -30,6 +30,8 @@ BANDS, ROWS = 16, 5
 CHUNK = 100_000
 #: A line that isn't blank, from its first character that Python's str.split() takes for no white space.
 LINE = r"[^\s\u000B\u001C-\u001F\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000][^\n]*"
+#: Line ids that a task remembers.
+KNOWN = 250_000
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 
@@ -156,7 +158,7 @@ def sketched(rows: DataFrame) -> DataFrame:
                             new.append(k)
                             lines.append(x)
                     fresh.append(new)
-                if len(known) > 500_000:  # forgetting costs repeated rows, not lost ones
+                if len(known) > KNOWN:  # forgetting costs repeated rows, not lost ones
                     known.clear()
                 found = [band_keys(signatures(*shingles(b), len(b))) for b in _blocks(lines)]
                 keys = np.concatenate(found).ravel() if found else np.zeros(0, dtype=np.int64)
@@ -184,7 +186,7 @@ def bodies_of(wanted: DataFrame, rows: DataFrame) -> DataFrame:
                     if int(ids[k]) not in known:
                         known.add(int(ids[k]))
                         on.append(k)
-                if len(known) > 500_000:
+                if len(known) > KNOWN:
                     known.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array([lines[k] for k in on], pa.string())], ["id", "body"])
 

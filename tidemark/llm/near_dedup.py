@@ -40,7 +40,7 @@ def normalised(text: str | None) -> list[str]:
 class WordHashes(dict):
     """Hashes of words; forgets all when it holds too many."""
 
-    MOST = 400_000
+    MOST = 200_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.MOST:

@@ -58,10 +58,15 @@ def encoder(path: str, added: bool = True):
     plain = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     if not added or not special:
         return plain
+    holds = re.compile("|".join(map(re.escape, special))).search
+    return lambda text: _library(path).encode(text, add_special_tokens=False).ids if holds(text) else plain(text)
+
+
+@functools.cache
+def _library(path: str):
     from tokenizers import Tokenizer
 
-    whole, holds = Tokenizer.from_file(path), re.compile("|".join(map(re.escape, special))).search
-    return lambda text: whole.encode(text, add_special_tokens=False).ids if holds(text) else plain(text)
+    return Tokenizer.from_file(path)
 
 
 def cut(n: int, most: int) -> list[tuple[int, int]]:

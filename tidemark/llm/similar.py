@@ -20,9 +20,10 @@ HEAVY = 1000
 #: Ids of a key that all others of the key are compared with, if its least id does not link them all.
 PIVOTS = 4
 #: Band keys that a task groups before it sends them on, and ids of a key from which it sends one of them only.
-FLUSH, CROWD = 1 << 20, 64
-#: Bins in which the frequencies of shingles are counted, to compare the rarest ones first.
-BINS, BLOCKS = 1 << 22, 64
+FLUSH, CROWD = 1 << 18, 64
+#: Bins in which the frequencies of shingles are counted, to compare the rarest ones first: two tables, of which the
+#: lesser count holds. A table has BINS / 2.
+BINS, BLOCKS = 1 << 23, 64
 #: Links that one task contracts at once, 16 bytes each.
 PER_TASK = 1_000_000
 _U = np.uint64
@@ -106,6 +107,12 @@ def with_texts(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     return own.join(texts.drop("n"), ["a", "salt"]).select("a", "b", "text_a", "text_b")
 
 
+def _bins(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bins of hashes in both tables."""
+    half = _U(BINS // 2)
+    return (h & (half - _U(1))).astype(np.int64), (((h >> _U(32)) & (half - _U(1))) + half).astype(np.int64)
+
+
 def _runs(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(starts, lengths) of the runs of equal values."""
     starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, dtype=np.int64)
@@ -258,7 +265,7 @@ def _rest(split: DataFrame, like: Similarity) -> DataFrame:
     with all shingles in one order, the first one that they share has at most n - least * n others before it. Of
     weighted shingles, a probability Jaccard similarity of `least` is at most the sum of the lesser shares, so
     shingles of at most 1 - least of all weight stand before it. The order is by frequency, counted in
-    BINS bins: common shingles are hardly ever among the first. Any order loses nothing. One of each pair is
+    bins: common shingles are hardly ever among the first. Any order loses nothing. One of each pair is
     outside of a reference component of a key.
     """
     spark, least, shingles, weighted = split.sparkSession, like.least, like.shingles, like.weighted
@@ -285,7 +292,8 @@ def _rest(split: DataFrame, like: Similarity) -> DataFrame:
         for batch in batches:
             bodies = batch.column(0).to_pylist()
             for a, b in some(bodies):
-                np.add.at(found, (shingles(bodies[a:b])[1] & _U(BINS - 1)).astype(np.int64), np.uint32(1))
+                for at in _bins(shingles(bodies[a:b])[1]):
+                    np.add.at(found, at, np.uint32(1))
         for k in range(BLOCKS):
             at = np.flatnonzero(found[k * block : (k + 1) * block])
             if len(at):
@@ -305,7 +313,7 @@ def _rest(split: DataFrame, like: Similarity) -> DataFrame:
             level = np.minimum(255, np.round(8 * np.log2(own + 1))).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["block", "data"])
 
-    levels = np.zeros(BINS, dtype=np.uint8)  # 4 MB, whatever the input
+    levels = np.zeros(BINS, dtype=np.uint8)  # 8 MB, whatever the input
     for r in texts.select("body").mapInArrow(counted, "block int, data binary").repartition(BLOCKS, "block").mapInArrow(summed, "block int, data binary").collect():
         levels[r.block * block : (r.block + 1) * block] = np.frombuffer(r.data, dtype=np.uint8)
     sent = spark.sparkContext.broadcast(levels)
@@ -318,7 +326,8 @@ def _rest(split: DataFrame, like: Similarity) -> DataFrame:
             bodies = batch.column(3).to_pylist()
             for a, b in some(bodies):
                 owner, h = shingles(bodies[a:b])
-                level = sent.value[(h & _U(BINS - 1)).astype(np.int64)].astype(_U)
+                first, second = _bins(h)
+                level = np.minimum(sent.value[first], sent.value[second]).astype(_U)
                 by = np.argsort((owner.astype(_U) << _U(48)) | (level << _U(40)) | (h >> _U(24)))
                 owner, h = owner[by], h[by]
                 at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])) if len(h) else by
@@ -337,18 +346,19 @@ def _rest(split: DataFrame, like: Similarity) -> DataFrame:
                 keep = (place <= n[owner] * (1 - least) + 1) | (varied[owner] & (mass <= 1 - least + 1e-6))
                 ends = np.cumsum(np.bincount(owner[keep], minlength=b - a)).astype(np.int32)
                 flat = pa.StructArray.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(place[keep].astype(np.int32)), pa.array(mass[keep].astype(np.float32))], ["token", "place", "mass"])
-                first = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), flat)
+                told = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), flat)
                 own = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), pa.array(n.astype(np.int64)), pa.array(varied), first.cast(one)], ["id", "part", "outside", "n", "varied", "first"])
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), pa.array(n.astype(np.int64)), pa.array(varied), told.cast(one)], ["id", "part", "outside", "n", "varied", "first"])
 
     first = written(texts.select("id", "part", "outside", "body").mapInArrow(prefixes, schema), "prefixes")
-    y = first.select("id", "part", "n", "varied", F.inline("first"))
+    y = first.select("id", "part", "outside", "n", "varied", F.inline("first"))
     x = first.filter("outside").select("id", "part", "n", "varied", F.inline("first"))
-    y = y.select("token", *[F.col(c).alias(f"{c}2") for c in ("id", "part", "n", "varied", "place", "mass")])
+    y = y.select("token", *[F.col(c).alias(f"{c}2") for c in ("id", "part", "outside", "n", "varied", "place", "mass")])
     shares = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) + 1 >= least / (1 + least) * (F.col("n") + F.col("n2")) - 1e-6
     lengths = F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-6
     weighted = (F.col("varied") | F.col("varied2")) & (F.greatest("mass", "mass2") <= 1 - least + 1e-5)
-    found = x.join(y, "token").filter((F.col("part") != F.col("part2")) & ((shares & lengths) | weighted))
+    once = ~F.col("outside2") | (F.col("id") < F.col("id2"))
+    found = x.join(y, "token").filter((F.col("part") != F.col("part2")) & once & ((shares & lengths) | weighted))
     return written(found.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct(), "rest")
 
 
