@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tidemark.functions import signal, tensor, vector
-from tidemark.operators import aggregates, facts, islands, windows
+from tidemark.operators import aggregates, alignment, facts, islands, windows
 
 
 def one(spark, column):
@@ -97,6 +97,37 @@ def test_split_points():
     quiet = np.array([True] * 30 + [False] * 4 + [True] * 3 + [False] * 6 + [True] * 57)
     got = list(islands.split_points(quiet, 10, 1000, 500))
     assert got[0] == (0, 400) and got[-1][1] == 1000
+    # The middle of a run of three frames is that of its first whole one.
+    odd = np.array([True] * 30 + [False] * 3 + [True] * 67)
+    assert next(islands.split_points(odd, 10, 1000, 500)) == (0, 310)
+
+
+def test_ties_of_the_warp_are_those_of_the_sums():
+    rng = np.random.default_rng(3)
+
+    def slow(weights):
+        n, m = weights.shape
+        total, came = np.full((n + 1, m + 1), np.inf), np.zeros((n + 1, m + 1), int)
+        total[0, 0], came[0, :], came[:, 0] = 0, 2, 1
+        for i in range(1, n + 1):
+            for j in range(1, m + 1):
+                c = [total[i - 1, j - 1] - weights[i - 1, j - 1], total[i - 1, j] - weights[i - 1, j - 1], total[i, j - 1] - weights[i - 1, j - 1]]
+                came[i, j] = 0 if c[0] < c[1] and c[0] < c[2] else 1 if c[1] < c[0] and c[1] < c[2] else 2
+                total[i, j] = c[came[i, j]]
+        i, j, path = n, m, []
+        while i > 0 or j > 0:
+            path.append((i - 1, j - 1))
+            i, j = i - (came[i, j] != 2), j - (came[i, j] != 1)
+        return path[::-1]
+
+    for _ in range(100):
+        x = rng.normal(size=(6, 8)) * 10.0 ** rng.integers(-8, 18, size=(6, 8))
+        assert list(zip(*alignment.warp(x), strict=True)) == slow(x)
+
+
+def test_split_points_run_on():
+    quiet = np.array([True] * 30 + [False] * 4 + [True] * 3 + [False] * 6 + [True] * 57)
+    got = list(islands.split_points(quiet, 10, 1000, 500))
     assert all(0 < z - a <= 500 for a, z in got) and all(got[k][1] == got[k + 1][0] for k in range(len(got) - 1))
     assert list(islands.split_points(quiet, 10, 400, 500)) == [(0, 400)]
 

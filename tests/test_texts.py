@@ -2,6 +2,7 @@
 
 import io
 import math
+import random
 import struct
 import wave
 
@@ -58,13 +59,77 @@ def test_time_marks(spark):
     assert [(round(r.start, 2), round(r.end, 2), list(r.tokens)) for r in got] == [(0.0, 0.1, [100, 1, 2, 105]), (0.1, 0.2, [105, 3, 110])]
 
 
+def marked(tokens, first, step=0.02, window=30.0):
+    """The rule, by hand, in steps over one list."""
+    is_mark = [t >= first for t in tokens]
+    cuts = [k for k in range(1, len(tokens)) if is_mark[k - 1] and is_mark[k]]
+    if not cuts:
+        late = [t for t in tokens if t > first]
+        return [(0.0, (late[-1] - first) * step if late else window, tokens)], window
+    single, plain = is_mark[-3:] == [False, True, False], is_mark[-3:] == [False] * 3
+    if single:
+        cuts.append(max(k for k, m in enumerate(is_mark) if m) + 1)
+    if plain:
+        cuts.append(len(tokens))
+    out, at = [], 0
+    for cut in cuts:
+        own = [t for t in tokens[at:cut] if t >= first]
+        out.append(((own[0] - first) * step, (own[-1] - first) * step, tokens[at:cut]))
+        at = cut
+    return out, window if plain else (tokens[at - single] - first) * step
+
+
+def test_time_marks_against_the_rule(spark):
+    rng = random.Random(5)
+    streams = [[100, 1, 2], [1, 2, 3], [100, 1, 105], [100], [100, 1, 105, 105, 2, 110, 7], [100, 1, 105, 105, 2, 3, 4]]
+    streams += [[rng.choice([1, 2, 3, 100, 101, 105, 110]) for _ in range(rng.randrange(1, 14))] for _ in range(150)]
+    df = spark.createDataFrame([(w, k, t) for w, x in enumerate(streams) for k, t in enumerate(x)], "w int, at int, token int")
+    got = {}
+    for r in segments.marked_segments(df, ["w"], "at", "token", 100).orderBy("w", "segment").collect():
+        got.setdefault(r.w, []).append((round(r.start, 4), round(r.end, 4), list(r.tokens), round(r.advance, 4)))
+    for w, x in enumerate(streams):
+        parts, advance = marked(x, 100)
+        assert got[w] == [(round(a, 4), round(z, 4), t, round(advance, 4)) for a, z, t in parts], x
+
+
+def glued(words, opening, closing):
+    """The rule, by hand: marks join their neighbours as these stood; what was replaced is lost."""
+    holds = lambda marks, x: bool(x) and x in marks
+    first = [words[0]] if not holds(opening, words[0][0].strip(" \t")) else []
+    for before, (w, a, z) in zip(words, words[1:]):  # noqa: B905
+        if before[0][:1] in (" ", "\t") and holds(opening, before[0].strip(" \t")):
+            first[-1:] = [(before[0] + w, a, z)]
+        else:
+            first.append((w, a, z))
+    second = first[:1]
+    for before, (w, a, z) in zip(first, first[1:]):  # noqa: B905
+        if not before[0].endswith(" ") and holds(closing, w.strip(" \t")):
+            second[-1:] = [(before[0] + w, before[1], before[2])]
+        else:
+            second.append((w, a, z))
+    return [x for x in second if x[0] and not holds(closing, x[0]) and not holds(opening, x[0])]
+
+
+def test_punctuation_against_the_rule(spark):
+    rng = random.Random(6)
+    lists = [[" He", " ."], [".", " x"], [" x", " ("], [" (", " x"], ["(", "x"], [" He", " said", ' "', "yes", "!", '"']]
+    lists += [[rng.choice([" a", "b", " (", "(", ".", " .", "!", ' "', '"', " ", "", "c "]) for _ in range(rng.randrange(1, 9))] for _ in range(200)]
+    rows = [(s, k, w, float(k), k + 0.5) for s, x in enumerate(lists) for k, w in enumerate(x)]
+    df = spark.createDataFrame(rows, "s int, at int, word string, start double, end double")
+    got = {}
+    for r in segments.punctuation_merged(df, ["s"], "at", "word", '"(', '".!').orderBy("s", "start").collect():
+        got.setdefault(r.s, []).append((r.word, r.start, r.end))
+    for s, x in enumerate(lists):
+        assert got.get(s, []) == glued([(w, float(k), k + 0.5) for k, w in enumerate(x)], '"(', '".!'), x
+
+
 def test_punctuation_and_long_words(spark):
     rows = [(1, 0, " He", 0.0, 1.0), (1, 1, " said", 1.0, 2.0), (1, 2, " \"", 2.0, 2.1), (1, 3, "yes", 2.1, 3.0), (1, 4, "!", 3.0, 3.1), (1, 5, "\"", 3.1, 3.2)]
     df = spark.createDataFrame(rows, "s int, at int, word string, start double, end double")
-    assert [(r.word, r.start, r.end) for r in segments.punctuation_merged(df, ["s"], "at", "word").orderBy("start").collect()] == [(" He", 0.0, 1.0), (" said", 1.0, 2.0), (' "yes!"', 2.1, 3.0)]
-    long = spark.createDataFrame([(1, 0, "a", 0.0, 1.0), (1, 1, ".", 1.0, 5.0), (1, 2, "b", 5.0, 9.0), (1, 3, "c", 9.0, 13.0)], df.schema)
+    assert [(r.word, r.start, r.end) for r in segments.punctuation_merged(df.filter("at < 5"), ["s"], "at", "word").orderBy("start").collect()] == [(" He", 0.0, 1.0), (" said", 1.0, 2.0), (' "yes!', 2.1, 3.0)]
+    long = spark.createDataFrame([(1, -1, ".", -9.0, 0.0), (1, 0, "a", 0.0, 1.0), (1, 1, ".", 1.0, 5.0), (1, 2, "b", 5.0, 9.0), (1, 3, "c", 9.0, 13.0)], df.schema)
     got = segments.long_words_cut(long, ["s"], "at", "word", "start", "end", 1.5).orderBy("at").collect()
-    assert [(r.start, r.end) for r in got] == [(0.0, 1.0), (1.0, 2.5), (7.5, 9.0), (9.0, 13.0)]
+    assert [(r.start, r.end) for r in got] == [(-9.0, 0.0), (0.0, 1.0), (1.0, 2.5), (7.5, 9.0), (9.0, 13.0)]
 
 
 def test_words_find_their_segments(spark):
@@ -94,9 +159,10 @@ def test_decoding(spark):
 
 
 def test_time_rules():
-    rules = decoding.TimeRules(first=10, end=8, no_times=9, begin=1, first_limit=2)
-    x = rules.apply(np.zeros(20), [5])
-    assert np.isinf(x[:10]).all() and np.isfinite(x[10:13]).all() and np.isinf(x[13:]).all()
+    rules = decoding.TimeRules(first=10, end=8, no_times=9, begin=1)
+    x = rules.apply(np.concatenate([np.full(10, 5.0), np.zeros(10)]), [5])
+    assert np.isfinite(x[:9]).all() and np.isinf(x[9]) and np.isfinite(x[10:]).all()  # text may come first
+    assert not decoding.mass_exceeds(np.concatenate([np.zeros(2), np.full(3, -200.0)]), 2)
     after_text = rules.apply(np.concatenate([np.full(10, 5.0), np.zeros(10)]), [5, 12, 1])
     assert np.isinf(after_text[10:13]).all() and np.isfinite(after_text[0]) and np.isfinite(after_text[13])
     pair = rules.apply(np.zeros(20), [5, 12, 1, 14])

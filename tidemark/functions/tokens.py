@@ -57,7 +57,7 @@ def spaced_words(tokens: DataFrame, by: list[str], at: str, text: str, special:
     t = F.col(text)
     starts = t.startswith(" ") | F.trim(t).rlike(r"^\p{P}$")
     if special:
-        starts = starts | F.col(special) | F.coalesce(F.lag(special).over(w), F.lit(False))
+        starts = starts | F.col(special)
     rows = tokens.withColumn("__s", starts).withColumn("word_at", F.sum(F.col("__s").cast("int")).over(w))
     parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("a"), t.alias("t")))), lambda x: x["t"])
     return rows.groupBy(*by, "word_at").agg(F.array_join(parts, "").alias("word"), F.min(at).alias("first"), F.max(at).alias("last"))

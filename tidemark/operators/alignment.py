@@ -22,9 +22,11 @@ def warp(weights: np.ndarray) -> tuple[list[int], list[int]]:
     for d in range(2, n + m + 1):
         i = np.arange(max(1, d - m), min(n, d - 1) + 1)
         j = d - i
-        diagonal, up, left = total[i - 1, j - 1], total[i - 1, j], total[i, j - 1]
+        # The cell's cost is added before comparing, as rounding then makes ties.
+        own = cost[i - 1, j - 1]
+        diagonal, up, left = total[i - 1, j - 1] + own, total[i - 1, j] + own, total[i, j - 1] + own
         step = np.where((diagonal < up) & (diagonal < left), 0, np.where((up < diagonal) & (up < left), 1, 2))
-        total[i, j] = cost[i - 1, j - 1] + np.choose(step, [diagonal, up, left])
+        total[i, j] = np.choose(step, [diagonal, up, left])
         came[i, j] = step
     came[0, :], came[:, 0] = 2, 1
     i, j, rows, columns = n, m, [], []
@@ -70,10 +72,6 @@ def log_prob_faults(frame: Column, floor: float = -100.0, tolerance: float = 2e-
     return F.when(F.exists(x, lambda v: F.coalesce(F.isnan(v), F.lit(True))), "not a number").when(F.array_min(x) < floor, "below the floor").when(off > tolerance, "not normalised")
 
 
-#: The 29 classes of a character alignment model. 0 is the blank.
-CHARACTERS = ["<pad>", "<s>", "</s>", "<unk>", "|", *"ETAONIHSRDLUMWCFGYPBVK'XJQZ"][:32]
-
-
 def unknown_characters(text: Column) -> Column:
     """The characters of a transcript, in upper case, that the alignment classes lack."""
     return F.array_distinct(F.filter(F.split(F.replace(F.upper(text), F.lit(" "), F.lit("|")), ""), lambda c: (c != "") & ~c.rlike(r"[A-Z'|]")))

@@ -54,15 +54,14 @@ def only_ids(ids: list[int]) -> LogitsFilter:
 class TimeRules:
     """Where time marks may stand: ids from `first` on are marks, ids below `text_end` text, `end` ends.
 
-    Marks come in pairs and never run back; the first place is a mark, at most `first_limit` steps in; and where
-    the marks together are likelier than any text, a mark is taken. That last comparison is made in 16-bit floats.
+    Marks come in pairs and never run back; and where the marks together are likelier than any text, a mark is taken.
+    That last comparison is made in 16-bit floats. The first place need not be a mark.
     """
 
     first: int
     end: int
     no_times: int
     begin: int
-    first_limit: int | None = None
 
     def apply(self, logits: np.ndarray, tokens: list[int]) -> np.ndarray:
         x = np.array(logits, dtype=np.float64)
@@ -77,28 +76,22 @@ class TimeRules:
         if marks:
             paired = sampled[-1] >= self.first and not (len(sampled) < 2 or sampled[-2] >= self.first)
             x[self.first : marks[-1] + (0 if paired else 1)] = NEVER
-        if not sampled:
-            x[: self.first] = NEVER
-            if self.first_limit is not None:
-                x[self.first + self.first_limit + 1 :] = NEVER
         if mass_exceeds(x, self.first):
             x[: self.first] = NEVER
         return x
 
 
 def mass_exceeds(logits: np.ndarray, first: int) -> bool:
-    """Whether the marks' summed probability passes the likeliest text id's, in 16-bit floats."""
+    """Whether the marks' summed probability passes the likeliest text id's, in 16-bit floats. The sum is of plain
+    probabilities: marks too unlikely for a 32-bit float have none."""
+    x = np.asarray(logits, dtype=np.float32)
+    top = x.max(initial=np.float32(NEVER))
+    if not np.isfinite(top):
+        return False
     with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
-        top = logits.max(initial=NEVER)
-        if not np.isfinite(top):
-            return False
-        log_p = (logits - top - np.log(np.exp(logits - top).sum())).astype(np.float16)
-        marks, words = log_p[first:], log_p[:first]
-        peak = marks.max(initial=np.float16(NEVER))
-        if not np.isfinite(peak):
-            return False
-        mass = np.float16(peak + np.log(np.exp((marks - peak).astype(np.float32)).sum()))
-        return bool(mass > words.max(initial=np.float16(NEVER)))
+        log_p = (x - top - np.log(np.exp(x - top).sum(dtype=np.float32))).astype(np.float16)
+        mass = np.log(np.exp(log_p[first:].astype(np.float32)).sum(dtype=np.float32)).astype(np.float16)
+    return bool(mass > log_p[:first].max(initial=np.float16(NEVER)))
 
 
 def greedy(logits: Column) -> Column:

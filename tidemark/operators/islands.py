@@ -91,7 +91,8 @@ def hysteresis(probabilities: DataFrame, by: list[str], at: str, prob: str, fram
 
 
 def split_points(active: np.ndarray, frame: int, total: int, most: int, padding: int = 0) -> Iterator[tuple[int, int]]:
-    """Chunks of at most `most` samples, each cut in the middle of the longest silence of its second half."""
+    """Chunks of at most `most` samples, each cut in the middle of the longest silence of its second half, by whole
+    frames from the middle on. active: frames from sample 0 on; the middle takes the frame that holds it."""
     start = 0
     if total <= most:
         yield 0, total
@@ -110,7 +111,7 @@ def split_points(active: np.ndarray, frame: int, total: int, most: int, padding:
                 else:
                     run += 1
             if best is not None:
-                end = max(start + 1, min(end, (middle // frame + best) * frame + best_len * frame // 2))
+                end = max(start + 1, min(end, middle + (best + best_len // 2) * frame))
         yield start, end
         start = end
 

@@ -59,44 +59,65 @@ def word_cues(segments: DataFrame, by: list[str], order: str, words: str = "word
     return segments.select(*by, order, F.posexplode(F.coalesce(own, whole)).alias("at", "__cue")).select(*by, order, "at", "__cue.start", "__cue.end", "__cue.text")
 
 
-def marked_segments(tokens: DataFrame, by: list[str], at: str, token: str, first_mark: int, step: float = TIME_STEP) -> DataFrame:
-    """(by, segment, start, end, tokens): a token stream cut where two time marks follow each other.
+def marked_segments(tokens: DataFrame, by: list[str], at: str, token: str, first_mark: int, step: float = TIME_STEP, window: float = 30.0) -> DataFrame:
+    """(by, segment, start, end, tokens, advance): a token stream cut where two time marks follow each other.
 
-    A segment's times are its first and last mark; what follows the last cut is open and left to the next window,
-    unless the stream ends with one mark.
+    A segment's times are its first and last mark. What follows the last cut is a segment if the stream ends in
+    text, one mark and a last token (which is left out), or in three tokens that are no marks; else it is left to the
+    next window. Without any cut, all tokens are one segment, to the last mark after the first possible one, or of
+    the whole window. advance: the seconds to the next window.
     """
     w = Window.partitionBy(*by).orderBy(at)
-    is_mark = F.col(token) >= first_mark
-    rows = tokens.withColumn("__m", is_mark).withColumn("__cut", F.coalesce(F.col("__m") & F.lag("__m").over(w), F.lit(False)).cast("int"))
-    rows = rows.withColumn("segment", F.sum("__cut").over(w))
+    whole = Window.partitionBy(*by)
+    rows = tokens.withColumn("__m", F.col(token) >= first_mark)
+    rows = rows.withColumn("__cut", F.coalesce(F.col("__m") & F.lag("__m").over(w), F.lit(False)).cast("int"))
+    back = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(at)))
+    rows = rows.withColumn("segment", F.sum("__cut").over(w)).withColumn("__back", back).withColumn("__cuts", F.sum("__cut").over(whole))
+    last = [F.max(F.when(F.col("__back") == k, F.col("__m"))).over(whole) for k in (3, 2, 1)]
+    for name, marks in (("__single", (False, True, False)), ("__plain", (False, False, False))):
+        rows = rows.withColumn(name, F.coalesce((last[0] == marks[0]) & (last[1] == marks[1]) & (last[2] == marks[2]), F.lit(False)))
+    rows = rows.withColumn("__last", F.max_by(F.col(token), F.when(F.col("__m"), F.col(at))).over(whole))
+    ends = F.max(F.when(F.col("__cut") == 1, F.struct(F.col(at).alias("a"), F.col(token).alias("t")))).over(whole)["t"]
+    rows = rows.withColumn("__end", F.when(F.col("__single"), F.col("__last")).otherwise(ends))
+    rest = (F.col("segment") == F.col("__cuts")) & (F.col("__cuts") > 0)
+    rows = rows.filter(~rest | F.col("__plain") | (F.col("__single") & (F.col("__back") > 1)))
     mark = F.when(F.col("__m"), F.col(token) - first_mark)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("a"), F.col(token).alias("t")))), lambda s: s["t"])
-    got = rows.groupBy(*by, "segment").agg((F.min(mark) * step).alias("start"), (F.max(mark) * step).alias("end"), ordered.alias("tokens"), F.max_by(F.col("__m"), F.col(at)).alias("__closed"))
-    return got.filter("__closed").drop("__closed")
+    place = F.when(F.col("__m"), F.col(at))
+    late = F.max_by(F.col(token) - first_mark, F.when(F.col(token) > first_mark, F.col(at)))
+    got = rows.groupBy(*by, "segment", "__cuts", "__plain", "__end").agg(F.min_by(mark, place).alias("__first"), F.max_by(mark, place).alias("__to"), late.alias("__late"), ordered.alias("tokens"))
+    none = F.col("__cuts") == 0
+    return got.select(
+        *by,
+        "segment",
+        F.when(none, 0.0).otherwise(F.col("__first") * step).alias("start"),
+        F.when(none, F.coalesce(F.col("__late") * step, F.lit(window))).otherwise(F.col("__to") * step).alias("end"),
+        "tokens",
+        F.when(none | F.col("__plain"), window).otherwise((F.col("__end") - first_mark) * step).alias("advance"),
+    )
 
 
 def punctuation_merged(words: DataFrame, by: list[str], at: str, word: str, opening: str = "\"'“¿([{-", closing: str = "\"'.。,，!！?？:：”)]}、") -> DataFrame:
     """words with opening marks glued to the next word and closing marks to the previous one; hosts keep their times.
 
-    Marks in a row join the same host; each host is the island of its marks. Opening marks start with a space.
+    An opening mark starts with a space; a closing one doesn't follow a word that ends with one. A mark is glued to
+    its neighbour as it stood, so of several in a row only the nearest stays; bare marks that are left go.
     """
     w = Window.partitionBy(*by).orderBy(at)
-    bare = F.trim(F.col(word))
-    opens = F.col(word).startswith(" ") & (F.length(bare) == 1) & F.lit(opening).contains(bare)
-    rows = words.withColumn("__open", opens)
-    # A word ends the run of opening marks before it.
-    run = F.sum(F.when(F.coalesce(F.lag("__open").over(w), F.lit(False)), 0).otherwise(1)).over(w)
-    rows = rows.withColumn("__g", run)
-    host = F.struct((~F.col("__open")).alias("k"), F.col(at).alias("a"))
+    holds = lambda marks, x: (x != "") & F.lit(marks).contains(x)
+    trimmed = lambda x: F.regexp_replace(x, r"^[\p{Zs}\t]+|[\p{Zs}\t]+$", "")
+    rows = words.withColumn("__o", holds(opening, trimmed(F.col(word)))).withColumn("__g", F.col("__o") & F.col(word).rlike(r"^[\p{Zs}\t]"))
+    before = F.when(F.lag("__g").over(w), F.lag(word).over(w)).otherwise("")
+    first, last = F.lag(at).over(w).isNull(), F.lead(at).over(w).isNull()
+    rows = rows.withColumn("__w", F.concat(before, word)).withColumn("__stays", ~(F.col("__g") & ~last) & ~(first & F.col("__o")))
+    rows = rows.filter("__stays").withColumn(word, F.col("__w"))
+    closes = holds(closing, trimmed(F.col(word))) & F.coalesce(~F.lag(word).over(w).endswith(" "), F.lit(False))
+    rows = rows.withColumn("__c", closes)
+    rows = rows.withColumn("__gone", F.coalesce(F.lead("__c").over(w), F.lit(False)))
     others = [c for c in words.columns if c not in (*by, word)]
-    glued = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("a"), F.col(word).alias("w")))), lambda s: s["w"]), "")
-    rows = rows.groupBy(*by, "__g").agg(glued.alias(word), *[F.max_by(F.col(c), host).alias(c) for c in others]).drop("__g")
-    closes = (F.length(word) > 0) & F.lit(closing).contains(F.col(word)) & (F.lag(word).over(w).isNotNull())
-    rows = rows.withColumn("__close", closes)
-    rows = rows.withColumn("__h", F.sum(F.when(F.col("__close") & ~F.coalesce(F.lag(word).over(w).endswith(" "), F.lit(False)), 0).otherwise(1)).over(w))
-    first = F.col(at)
-    rows = rows.groupBy(*by, "__h").agg(glued.alias(word), *[F.min_by(F.col(c), first).alias(c) for c in others]).drop("__h")
-    return rows.select(*words.columns)
+    taken = [F.when(F.col("__c"), F.lag(c).over(w)).otherwise(F.col(c)).alias(c) for c in others]
+    rows = rows.select(*by, *taken, F.when(F.col("__c"), F.concat(F.lag(word).over(w), word)).otherwise(F.col(word)).alias(word), "__gone")
+    return rows.filter(~F.col("__gone") & (F.col(word) != "") & ~holds(closing, F.col(word)) & ~holds(opening, F.col(word))).select(*words.columns)
 
 
 #: Fixed value: marks that end a sentence.
@@ -104,11 +125,12 @@ SENTENCE_ENDS = [".", "。", "!", "！", "?", "？"]
 
 
 def long_words_cut(words: DataFrame, by: list[str], at: str, word: str, start: str, end: str, longest: Column | float) -> DataFrame:
-    """words that last too long, cut at sentence ends: a mark loses its end, a word after a mark its beginning."""
+    """words that last too long, cut at sentence ends: a mark loses its end, a word after a mark its beginning. Marks
+    count as they stand, without spaces; the first word is never cut."""
     most = longest if isinstance(longest, Column) else F.lit(longest)
     before = F.lag(word).over(Window.partitionBy(*by).orderBy(at))
-    long = (F.col(end) - F.col(start)) > most
-    is_mark, after = F.trim(F.col(word)).isin(*SENTENCE_ENDS), F.coalesce(F.trim(before).isin(*SENTENCE_ENDS), F.lit(False))
+    long = before.isNotNull() & ((F.col(end) - F.col(start)) > most)
+    is_mark, after = F.col(word).isin(*SENTENCE_ENDS), before.isin(*SENTENCE_ENDS)
     rows = words.withColumn("__s", F.when(long & ~is_mark & after, F.col(end) - most).otherwise(F.col(start))).withColumn("__e", F.when(long & is_mark, F.col(start) + most).otherwise(F.col(end)))
     return rows.withColumn(start, F.col("__s")).withColumn(end, F.col("__e")).drop("__s", "__e")
 
