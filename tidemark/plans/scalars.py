@@ -156,14 +156,14 @@ def signal_htk_mel(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    """WITH h AS (SELECT l_orderkey, l_linenumber, l_extendedprice / 21 AS hz FROM lineitem),
+    """WITH h AS (SELECT l_orderkey, l_linenumber, l_extendedprice / 20.7 AS hz FROM lineitem),
     m AS (SELECT *, CASE WHEN hz < 1000 THEN hz * 3 / 200 ELSE 15 + ln(hz / 1000) * 27 / ln(6.4) END AS mel FROM h)
-    SELECT l_orderkey, l_linenumber, round(mel, 4) AS mel, true AS back FROM m"""
+    SELECT l_orderkey, l_linenumber, round(mel, 2) AS mel, true AS back FROM m"""
 )
 def signal_slaney_mel(spark: SparkSession, folder: str) -> DataFrame:
     """To the Slaney scale and back."""
-    mel = signal.slaney_mel(F.col("l_extendedprice") / 21)
-    return _lines(spark, folder, mel=F.round(mel, 4), back=F.abs(signal.slaney_hz(mel) - F.col("l_extendedprice") / 21) < 1e-6)
+    mel = signal.slaney_mel(F.col("l_extendedprice") / 20.7)
+    return _lines(spark, folder, mel=F.round(mel, 2), back=F.abs(signal.slaney_hz(mel) - F.col("l_extendedprice") / 20.7) < 1e-6)
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(range(64), lambda k: embedding[(k + 1)::INT]::DOUBLE * (0.5 - 0.5 * cos(2 * pi() * k / 64)))), 4) AS windowed FROM embeddings")
