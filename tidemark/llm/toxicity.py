@@ -45,6 +45,8 @@ CLASSES = 64
 LONGEST = 16
 #: A document counts as toxic from this score on.
 TOXIC = 0.5
+#: Commonest words of clean sentences that are known as such, if they stand in two at least.
+KNOWN = 100_000
 #: Units whose scores a Python worker remembers.
 REMEMBER = 300_000
 #: Single characters apart from each other, as in a spaced-out word.
@@ -62,14 +64,16 @@ def units(text: str) -> set[str]:
     return found
 
 
-def windows(text: str) -> set[str]:
-    """Two neighbouring words of a sentence joined without marks, and three if they are LONGEST at most."""
+def windows(text: str, known: frozenset[str] = frozenset()) -> set[str]:
+    """Two or three neighbouring words of a sentence joined without marks, if they are LONGEST at most and not all
+    known as words of clean sentences."""
     found: set[str] = set()
     for sentence in SENTENCES.split(text.lower()):
         words = [w for w in (MARKS.sub("", x) for x in sentence.split()) if w]
-        two = list(map(str.__add__, words, words[1:]))
-        found.update(two)
-        found.update([a + b for a, b in zip(two, words[2:]) if len(a) + len(b) <= LONGEST])  # noqa: B905
+        odd = [w not in known for w in words]
+        two = [(a + b, x or y) for a, b, x, y in zip(words, words[1:], odd, odd[1:])]  # noqa: B905
+        found.update([w for w, x in two if x and len(w) <= LONGEST])
+        found.update([w + c for (w, x), c, y in zip(two, words[2:], odd[2:]) if (x or y) and len(w) + len(c) <= LONGEST])  # noqa: B905
     return found
 
 
@@ -156,6 +160,8 @@ class Model:
     shift: float
     #: By how much a window must decide more than a unit to count as much.
     margin: float = 0.0
+    #: Words of clean sentences, at most KNOWN.
+    known: frozenset[str] = frozenset()
 
     def decide(self, words: list[str]) -> np.ndarray:
         """The machine's decision value of each unit; of a long one, that of its worst piece."""
@@ -298,6 +304,7 @@ def fit(texts: list[str], labels: np.ndarray, landmarks: int = LANDMARKS, rounds
         decided = model.decide(vocabulary)
         belief = dict(zip(vocabulary, decided.tolist(), strict=True))
         negative |= {u for u in sorted(clean, key=lambda u: (-belief[u], u))[: NEGATIVES // 4] if belief[u] > -1}
+    model.known = frozenset(u for u in common[:KNOWN] if clean[u] > 1)
     worst, step = np.array([max(belief[u] for b in doc for u in b) for doc in own]), 256
     more = np.concatenate([with_windows(model, texts[at : at + step], worst[at : at + step]) for at in range(0, len(texts), step)])
     # Windows are many and not learned from: they count less by the margin that leaves the fewest errors.
@@ -364,10 +371,10 @@ def worst(model: Model, token: str, texts: pd.Series) -> np.ndarray:
 def with_windows(model: Model, texts: pd.Series, found: np.ndarray) -> np.ndarray:
     """The larger of found and of the decision value of each text's worst window, less the margin. Windows whose
     bound is lower are not looked at closely."""
-    if np.isinf(model.shift):
+    if np.isinf(model.shift) or model.margin >= MARGINS[-1]:
         return found
     found = found.copy()
-    own = [list(windows(t)) for t in texts]
+    own = [list(windows(t, model.known)) for t in texts]
     number = {w: k for k, w in enumerate(set().union(*own))} if own else {}
     words = list(number)
     bound = model.at_most(words) - model.margin
@@ -384,7 +391,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", column: str = "sco
     import uuid
 
     spark, token = docs.sparkSession, uuid.uuid4().hex
-    sent = spark.sparkContext.broadcast(model)  # one table of 1 MB
+    sent = spark.sparkContext.broadcast(model)  # one table of 1 MB, and KNOWN words
 
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
