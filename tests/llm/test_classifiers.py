@@ -100,5 +100,12 @@ def test_bound_of_windows():
     model = toxicity.Model(np.random.default_rng(1).normal(size=toxicity.CLASSES**3).astype(np.float32), -1.0, 1.0, 0.0)
     assert (model.at_most(words) >= model.decide(words)).all()
     texts = [" ".join(rng.choices(words, k=30)) for _ in range(20)]
-    want = [max(model.decide(sorted(toxicity.windows(t)))) for t in texts]
+    want = [max(model.decide(sorted(toxicity.windows(t))), default=toxicity.NOTHING) for t in texts]
     assert np.allclose(toxicity.with_windows(model, texts, np.full(20, toxicity.NOTHING)), np.maximum(want, toxicity.NOTHING))
+
+
+def test_windows_of_known_words_are_left_out():
+    assert toxicity.windows("Mo ron, you are. One") == {"moron", "moronyou", "ronyou", "ronyouare", "youare"}
+    known = frozenset({"you", "are"})
+    assert toxicity.windows("mo ron, you are. You are", known) == {"moron", "moronyou", "ronyou", "ronyouare"}
+    assert toxicity.windows("x" * 9 + " " + "y" * 9) == set()
