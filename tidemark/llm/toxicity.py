@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,8 +46,8 @@ CLASSES = 64
 LONGEST = 16
 #: A document counts as toxic from this score on.
 TOXIC = 0.5
-#: Commonest words of clean sentences that are known as such, if they stand in two at least.
-KNOWN = 100_000
+#: Commonest words of clean sentences that are known as such.
+KNOWN = 200_000
 #: Units whose scores a Python worker remembers.
 REMEMBER = 300_000
 #: Single characters apart from each other, as in a spaced-out word.
@@ -55,10 +56,15 @@ MARKS = re.compile(r"[\W_]+")
 SENTENCES = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
+def _bare(word: str) -> str:
+    """A word without marks."""
+    return word if word.isalnum() else MARKS.sub("", word)
+
+
 def units(text: str) -> set[str]:
     """The units of a whole text."""
     text = text.lower()
-    found = {MARKS.sub("", w) for w in set(text.split())}
+    found = set(map(_bare, set(text.split())))
     found.update(MARKS.sub("", m) for m in SPACED.findall(text))
     found.discard("")
     return found
@@ -68,13 +74,30 @@ def windows(text: str, known: frozenset[str] = frozenset()) -> set[str]:
     """Two or three neighbouring words of a sentence joined without marks, if they are LONGEST at most and not all
     known as words of clean sentences."""
     found: set[str] = set()
-    for sentence in SENTENCES.split(text.lower()):
-        words = [w for w in (MARKS.sub("", x) for x in sentence.split()) if w]
-        odd = [w not in known for w in words]
-        two = [(a + b, x or y) for a, b, x, y in zip(words, words[1:], odd, odd[1:])]  # noqa: B905
-        found.update([w for w, x in two if x and len(w) <= LONGEST])
-        found.update([w + c for (w, x), c, y in zip(two, words[2:], odd[2:]) if (x or y) and len(w) + len(c) <= LONGEST])  # noqa: B905
-    return found
+    text = text.lower()
+    bare = {x: _bare(x) for x in set(text.split())}
+    odd = {x for x, w in bare.items() if w and w not in known}
+    # Sentences end as SENTENCES says: by a mark before white space, or with the line.
+    for line in text.split("\n") if odd else ():
+        tokens = line.split()
+        if odd.isdisjoint(tokens):
+            continue
+        words, at, ends = [], [], []
+        for x in tokens:
+            if w := bare[x]:
+                if x in odd:
+                    at.append(len(words))
+                words.append(w)
+            if x[-1] in ".!?":
+                ends.append(len(words))
+        ends.append(len(words))
+        for k in at:
+            j = bisect_right(ends, k)
+            first, last = max(ends[j - 1] if j else 0, k - 2), min(ends[j], k + 3)
+            for a in range(first, k + 1):
+                for z in range(max(a + 2, k + 1), min(a + 3, last) + 1):
+                    found.add("".join(words[a:z]))
+    return {w for w in found if len(w) <= LONGEST}
 
 
 def _pieces(unit: str) -> list[str]:
@@ -304,7 +327,7 @@ def fit(texts: list[str], labels: np.ndarray, landmarks: int = LANDMARKS, rounds
         decided = model.decide(vocabulary)
         belief = dict(zip(vocabulary, decided.tolist(), strict=True))
         negative |= {u for u in sorted(clean, key=lambda u: (-belief[u], u))[: NEGATIVES // 4] if belief[u] > -1}
-    model.known = frozenset(u for u in common[:KNOWN] if clean[u] > 1)
+    model.known = frozenset(common[:KNOWN])
     worst, step = np.array([max(belief[u] for b in doc for u in b) for doc in own]), 256
     more = np.concatenate([with_windows(model, texts[at : at + step], worst[at : at + step]) for at in range(0, len(texts), step)])
     # Windows are many and not learned from: they count less by the margin that leaves the fewest errors.
@@ -378,11 +401,13 @@ def with_windows(model: Model, texts: pd.Series, found: np.ndarray) -> np.ndarra
     number = {w: k for k, w in enumerate(set().union(*own))} if own else {}
     words = list(number)
     bound = model.at_most(words) - model.margin
-    for at, mine in enumerate(own):
-        places = np.fromiter(map(number.__getitem__, mine), np.int64, len(mine))
-        close = places[bound[places] > found[at]]
-        if len(close):
-            found[at] = max(found[at], model.decide([words[k] for k in close]).max() - model.margin)
+    close = [places[bound[places] > found[at]] for at, mine in enumerate(own) for places in [np.fromiter(map(number.__getitem__, mine), np.int64, len(mine))]]
+    looked = np.unique(np.concatenate(close)) if close else np.zeros(0, dtype=np.int64)
+    if len(looked):
+        bound[looked] = model.decide([words[k] for k in looked]) - model.margin
+        for at, places in enumerate(close):
+            if len(places):
+                found[at] = max(found[at], bound[places].max())
     return found
 
 
