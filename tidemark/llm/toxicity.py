@@ -371,7 +371,9 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LEARN_FROM, text: str
     rows = sampled(docs, labels, "toxic", most, text, key).mapInPandas(told, "label int, text string, bags string").toPandas()
     rows = rows.drop_duplicates(["label", "bags"]).sort_values(["label", "bags", "text"])
     sentences = [[s.split(" ") for s in x.split("\n") if s] for x in rows["bags"]]
-    return fit(rows["text"].tolist(), rows["label"].to_numpy(), sentences=sentences)
+    texts, labels = rows["text"].tolist(), rows["label"].to_numpy()
+    del rows
+    return fit(texts, labels, sentences=sentences)
 
 
 _seen: dict[str, float] = {}
