@@ -167,3 +167,15 @@ def test_lines_of_repeated_and_null_keys(spark):
     got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
     assert sorted(((r.doc_id, r.text, r.n_dropped) for r in got), key=str) == lines_by_hand(rows)
     assert line_dedup.line_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_marks_differ_in_no_more_than_the_sets_do():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 9, 60, 900):
+        x = similar.mixed(rng.integers(0, 1 << 62, n + 12).astype(np.uint64))
+        sets = [x[:n], x[3 : n + 3], x[12:], x[:0]]
+        marks = similar._marks(np.repeat(np.arange(4), [len(s) for s in sets]), np.concatenate(sets), 4)
+        assert marks.shape == (4, similar.MARKS)
+        for a, b in combinations(range(4), 2):
+            bits = sum(int(k).bit_count() for k in (marks[a] ^ marks[b]).view(np.uint64))
+            assert bits <= len(set(sets[a].tolist()) ^ set(sets[b].tolist()))

@@ -24,6 +24,10 @@ FLUSH, CROWD = 1 << 18, 64
 #: Bins in which the frequencies of shingles are counted, to compare the rarest ones first: two tables, of which the
 #: lesser count holds. A table has BINS / 2.
 BINS, BLOCKS = 1 << 23, 64
+#: The level, see _rest(), of a shingle that was counted once.
+ONCE = 8
+#: Longs of a set's marks, see _marks().
+MARKS = 4
 #: Links that one task contracts at once, 16 bytes each.
 PER_TASK = 1_000_000
 _U = np.uint64
@@ -113,6 +117,15 @@ def _bins(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h & (half - _U(1))).astype(np.int64), (((h >> _U(32)) & (half - _U(1))) + half).astype(np.int64)
 
 
+def _marks(owner: np.ndarray, h: np.ndarray, sets: int) -> np.ndarray:
+    """sets x MARKS longs: of each set of distinct hashes, a bit for each of 64 * MARKS bins, set if it holds an odd
+    number of the set's hashes. So two sets differ in at least as many hashes as in bits."""
+    bits = 64 * MARKS
+    at = owner * bits + ((h >> _U(40)) & _U(bits - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=sets * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(sets, bits), axis=1, bitorder="little").view(np.int64)
+
+
 def _runs(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(starts, lengths) of the runs of equal values."""
     starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, dtype=np.int64)
@@ -265,8 +278,10 @@ def _rest(split: DataFrame, like: Similarity) -> DataFrame:
     with all shingles in one order, the first one that they share has at most n - least * n others before it. Of
     weighted shingles, a probability Jaccard similarity of `least` is at most the sum of the lesser shares, so
     shingles of at most 1 - least of all weight stand before it. The order is by frequency, counted in
-    bins: common shingles are hardly ever among the first. Any order loses nothing. One of each pair is
-    outside of a reference component of a key.
+    bins: common shingles are hardly ever among the first. Any order loses nothing. A bin counts no shingle less often
+    than it stands, so one whose bin has a count of one is shared by no two sets, and isn't sent. Two sets may differ
+    in (1 - least) / (1 + least) of n + m shingles, and differ in no fewer than in marks. One of each pair is outside
+    of a reference component of a key.
     """
     spark, least, shingles, weighted = split.sparkSession, like.least, like.shingles, like.weighted
     refs = split.groupBy("key", "part").agg(F.count("*").alias("c"), F.first("rows").alias("size")).groupBy("key")
@@ -317,7 +332,8 @@ def _rest(split: DataFrame, like: Similarity) -> DataFrame:
     for r in texts.select("body").mapInArrow(counted, "block int, data binary").repartition(BLOCKS, "block").mapInArrow(summed, "block int, data binary").collect():
         levels[r.block * block : (r.block + 1) * block] = np.frombuffer(r.data, dtype=np.uint8)
     sent = spark.sparkContext.broadcast(levels)
-    schema = "id long, part long, outside boolean, n long, varied boolean, first array<struct<token: long, place: int, mass: float>>"
+    schema = "id long, part long, outside boolean, n long, varied boolean, marks array<long>, first array<struct<token: long, place: int, mass: float>>"
+    schema_names = ["id", "part", "outside", "n", "varied", "marks", "first"]
     one = pa.list_(pa.struct([("token", pa.int64()), ("place", pa.int32()), ("mass", pa.float32())]))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,10 +348,11 @@ def _rest(split: DataFrame, like: Similarity) -> DataFrame:
                 owner, h = owner[by], h[by]
                 at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])) if len(h) else by
                 count = np.diff(np.append(at, len(h)))
-                owner, h = owner[at], h[at]
+                owner, h, several = owner[at], h[at], level[by][at] > ONCE
                 varied = np.zeros(b - a, dtype=bool)
                 varied[owner[count > 1]] = weighted
                 weight = weight_of(count) if weighted else np.ones(len(h))
+                marks = _marks(owner, h, b - a)
                 n = np.bincount(owner, minlength=b - a)
                 start = np.cumsum(n) - n
                 place = np.arange(len(owner)) - start[owner]
@@ -343,22 +360,26 @@ def _rest(split: DataFrame, like: Similarity) -> DataFrame:
                 upto = np.cumsum(weight) - weight
                 mass = (upto - upto[start[owner]]) / total[owner] if len(owner) else upto
                 # One more than needed, as hashes of equal rank and upper bits may stand in either order.
-                keep = (place <= n[owner] * (1 - least) + 1) | (varied[owner] & (mass <= 1 - least + 1e-6))
+                keep = several & ((place <= n[owner] * (1 - least) + 1) | (varied[owner] & (mass <= 1 - least + 1e-6)))
                 ends = np.cumsum(np.bincount(owner[keep], minlength=b - a)).astype(np.int32)
                 flat = pa.StructArray.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(place[keep].astype(np.int32)), pa.array(mass[keep].astype(np.float32))], ["token", "place", "mass"])
                 told = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), flat)
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * MARKS, pa.int32()), pa.array(marks.ravel()))
                 own = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), pa.array(n.astype(np.int64)), pa.array(varied), told.cast(one)], ["id", "part", "outside", "n", "varied", "first"])
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), pa.array(n.astype(np.int64)), pa.array(varied), bits, told.cast(one)], schema_names)
 
     first = written(texts.select("id", "part", "outside", "body").mapInArrow(prefixes, schema), "prefixes")
-    y = first.select("id", "part", "outside", "n", "varied", F.inline("first"))
-    x = first.filter("outside").select("id", "part", "n", "varied", F.inline("first"))
-    y = y.select("token", *[F.col(c).alias(f"{c}2") for c in ("id", "part", "outside", "n", "varied", "place", "mass")])
+    first = first.select("id", "part", "outside", "n", "varied", *[F.col("marks")[k].alias(f"m{k}") for k in range(MARKS)], "first")
+    y = first.select("id", "part", "outside", "n", "varied", *[f"m{k}" for k in range(MARKS)], F.inline("first"))
+    x = first.filter("outside").select("id", "part", "n", "varied", *[f"m{k}" for k in range(MARKS)], F.inline("first"))
+    y = y.select("token", *[F.col(c).alias(f"{c}2") for c in y.columns if c != "token"])
     shares = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) + 1 >= least / (1 + least) * (F.col("n") + F.col("n2")) - 1e-6
     lengths = F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-6
+    differ = sum((F.bit_count(F.col(f"m{k}").bitwiseXOR(F.col(f"m{k}2"))) for k in range(MARKS)), F.lit(0))
+    close = differ <= (1 - least) / (1 + least) * (F.col("n") + F.col("n2")) + 1e-6
     weighted = (F.col("varied") | F.col("varied2")) & (F.greatest("mass", "mass2") <= 1 - least + 1e-5)
     once = ~F.col("outside2") | (F.col("id") < F.col("id2"))
-    found = x.join(y, "token").filter((F.col("part") != F.col("part2")) & once & ((shares & lengths) | weighted))
+    found = x.join(y, "token").filter((F.col("part") != F.col("part2")) & once & ((shares & lengths & close) | weighted))
     return written(found.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct(), "rest")
 
 
