@@ -273,13 +273,14 @@ def line_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", least:
     rows = base.select(F.col(f"{P}row").alias("row"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
     dropped = dropped_lines(rows, least)
     n_lines = F.coalesce(F.regexp_count(text, F.lit(LINE)), F.lit(0)).cast("long")
-    base = base.select(*[F.col(f"`{c}`") for c in names], F.col(f"{P}row"), n_lines.alias(lines), F.xxhash64(f"{P}row").alias(f"{P}hash"))
+    base = base.select(*[F.col(f"`{c}`") for c in names], F.col(f"{P}row"), F.xxhash64(f"{P}row").alias(f"{P}hash"))
     # Only rows that may lose lines are shuffled.
     marked = Filter(dropped.select(F.xxhash64("row").alias("hash")), "hash").marked(base, f"{P}hash", f"{P}may")
     told = [*[F.col(f"`{c}`") for c in names], F.col(f"`{lines}`"), F.col(f"`{gone}`")]
-    alone = marked.filter(~F.col(f"{P}may")).withColumn(gone, F.lit(0).cast("long")).select(*told)
+    # Lines are counted in each branch, so that no text is matched twice.
+    alone = marked.filter(~F.col(f"{P}may")).withColumns({lines: n_lines, gone: F.lit(0).cast("long")}).select(*told)
     # The small side is hashed, so the texts need no sorting.
     some = marked.filter(f"{P}may").join(dropped.select(F.col("row").alias(f"{P}row"), F.col("dropped").alias(f"{P}dropped")).hint("shuffle_hash"), f"{P}row", "left")
     others = [F.col(f"`{c}`") for c in names if c != text]
-    cut = _cut(some.select(F.struct(*others, F.col(f"`{lines}`")).alias(f"{P}all"), F.col(text).alias(text), f"{P}dropped"))
+    cut = _cut(some.select(F.struct(*others, n_lines.alias(lines)).alias(f"{P}all"), F.col(text).alias(text), f"{P}dropped"))
     return alone.unionByName(cut.select(f"{P}all.*", text, F.col("n_dropped").alias(gone)).select(*told))
