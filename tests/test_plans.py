@@ -44,3 +44,12 @@ def test_query_matches_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL)))
 def test_other_queries_give_rows(spark, name):
     assert plans.QUERIES[name](spark, FOLDER).count() > 0
+
+
+def test_slaney_halves_round_as_in_sql(spark, tmp_path):
+    """Prices whose place on the scale ends in half a hundredth."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT i::BIGINT AS l_orderkey, 1::INT AS l_linenumber, (i * 690 / 100.0)::DOUBLE AS l_extendedprice FROM range(1, 3100) t(i)) TO '{tmp_path}/lineitem.parquet'")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    got = plans.QUERIES["signal_slaney_mel"](spark, str(tmp_path)).select("l_orderkey", "mel", "back").collect()
+    assert plain(got) == plain(con.sql(f"SELECT l_orderkey, mel, back FROM ({plans.SQL['signal_slaney_mel']})").fetchall())

@@ -89,7 +89,8 @@ SLANEY_HZ, SLANEY_STEP, SLANEY_LOG = 1000.0, 200.0 / 3, float(np.log(6.4) / 27)
 
 
 def slaney_mel(hz: Column) -> Column:
-    return F.when(hz < SLANEY_HZ, hz / SLANEY_STEP).otherwise(SLANEY_HZ / SLANEY_STEP + F.ln(F.greatest(hz, F.lit(SLANEY_HZ)) / SLANEY_HZ) / SLANEY_LOG)
+    """The linear part is hz * 3 / 200: dividing by the rounded SLANEY_STEP would move values that end in a half."""
+    return F.when(hz < SLANEY_HZ, hz * 3 / 200).otherwise(15 + F.ln(F.greatest(hz, F.lit(SLANEY_HZ)) / SLANEY_HZ) * 27 / float(np.log(6.4)))
 
 
 def slaney_hz(mel: Column) -> Column:
