@@ -219,3 +219,15 @@ def test_fact_merging_is_ordered(spark):
     got = {r.g: r for r in facts.merged_facts(df, ["g"], "o", ["t"], "l", "s", "b", "e").collect()}
     assert got[1].t is True and got[1].l == "en" and got[1].s == ["a", "b"] and tuple(got[1].span) == (5, True)
     assert got[2].t is None and got[2].l == "de" and got[2].s is None and tuple(got[2].span) == (2, False)
+
+
+def test_values_that_lambdas_share_are_computed_once(spark):
+    """A column named within a lambda is computed again for each element: four deep in align_log_prob_faults."""
+    rows = spark.createDataFrame([(1, [math.log(0.25)] * 4), (2, [0.0] * 4), (3, [float("nan"), 0.0]), (4, [-101.0, 0.0]), (5, None)], "vec_id long, embedding array<double>")
+    told = rows.select("vec_id", alignment.log_prob_faults(F.col("embedding")).alias("fault"), signal.log_sum_exp(F.col("embedding")).alias("lse"))
+    for column in (alignment.log_prob_faults(F.col("embedding")), signal.log_sum_exp(F.col("embedding"))):
+        plan = rows.select(column.alias("x"))._jdf.queryExecution().analyzed().toString().split("\n")[0]
+        assert plan.count("embedding#") == 1
+    got = {r.vec_id: r for r in told.collect()}
+    assert [got[k].fault for k in range(1, 6)] == [None, "not normalised", "not a number", "below the floor", None]
+    assert got[1].lse == pytest.approx(0) and got[2].lse == pytest.approx(math.log(4)) and got[4].lse == 0 and got[5].lse == float("-inf")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,11 +60,20 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is computed once; a plain column is computed again for each element of an array that
+    a lambda goes over."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def log_sum_exp(a: Column) -> Column:
     """Shifted by the largest element; minus infinity if that isn't finite or there is none."""
-    top = F.array_max(a.cast("array<double>"))
-    told = top + F.ln(F.aggregate(a.cast("array<double>"), F.lit(0.0), lambda s, x: s + F.exp(x - top)))
-    return F.when(top.isNull() | F.isnan(top) | (F.abs(top) == float("inf")), float("-inf")).otherwise(told)
+
+    def told(x: Column, top: Column) -> Column:
+        total = top + F.ln(F.aggregate(x, F.lit(0.0), lambda s, v: s + F.exp(v - top)))
+        return F.when(top.isNull() | F.isnan(top) | (F.abs(top) == float("inf")), float("-inf")).otherwise(total)
+
+    return let(a.cast("array<double>"), lambda x: let(F.array_max(x), lambda top: told(x, top)))
 
 
 def rounded(x: Column, places: int) -> Column:

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.signal import let
+
 
 def warp(weights: np.ndarray) -> tuple[list[int], list[int]]:
     """The cheapest monotone path over -weights, as row and column indices.
@@ -66,10 +68,12 @@ def word_times(rows: list[int], columns: list[int], words: list[list[int]], logp
 
 def log_prob_faults(frame: Column, floor: float = -100.0, tolerance: float = 2e-2) -> Column:
     """Null for a row of log probabilities, else what is wrong with it."""
-    x = frame.cast("array<double>")
-    top = F.array_max(x)
-    off = F.abs(top + F.ln(F.aggregate(x, F.lit(0.0), lambda s, v: s + F.exp(v - top))))
-    return F.when(F.exists(x, lambda v: F.coalesce(F.isnan(v), F.lit(True))), "not a number").when(F.array_min(x) < floor, "below the floor").when(off > tolerance, "not normalised")
+
+    def fault(x: Column, top: Column) -> Column:
+        off = F.abs(top + F.ln(F.aggregate(x, F.lit(0.0), lambda s, v: s + F.exp(v - top))))
+        return F.when(F.exists(x, lambda v: F.coalesce(F.isnan(v), F.lit(True))), "not a number").when(F.array_min(x) < floor, "below the floor").when(off > tolerance, "not normalised")
+
+    return let(frame.cast("array<double>"), lambda x: let(F.array_max(x), lambda top: fault(x, top)))
 
 
 def unknown_characters(text: Column) -> Column:
