@@ -109,3 +109,40 @@ def test_windows_of_known_words_are_left_out():
     known = frozenset({"you", "are"})
     assert toxicity.windows("mo ron, you are. You are", known) == {"moron", "moronyou", "ronyou", "ronyouare"}
     assert toxicity.windows("x" * 9 + " " + "y" * 9) == set()
+
+
+def marked(n):
+    rng = np.random.default_rng(0)
+    x = np.clip(np.abs(rng.normal(size=(n, 6))), 0, 4)
+    return np.rint(x * quality.GRAIN) / quality.GRAIN, (x[:, 0] - x[:, 1] + rng.normal(size=n) / 2 > 0).astype(int)
+
+
+def test_all_pairs_count():
+    x, y = marked(600)
+    z = (x - x.mean(0)) / (x.std(0) + 1e-6)
+    d = (z[y == 1][:, None] - z[y == 0]).reshape(-1, 6)
+    w = np.zeros(6)
+    for _ in range(15):
+        p = 1 / (1 + np.exp(d @ w))
+        w = w + np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + 1e-3 * np.eye(6), d.T @ p / len(d) - 1e-3 * w)
+    model = quality.fit(x, y)
+    assert np.allclose(model.weights, w, atol=2e-3)
+    for share in (0.0, 0.1, 0.37, 1.0):
+        cut = quality.fit(x, y, quantile=share)
+        assert abs((cut.strength(x) < cut.cut).mean() - share) < 1 / 600
+
+
+def test_parts_and_order_do_not_matter():
+    x, y = marked(3000)
+    order = np.random.default_rng(1).permutation(3000)
+    one = quality.fit(x, y)
+    two = quality.fitted(lambda f: quality.added([f(x[order[a : a + 700]], y[order[a : a + 700]]) for a in range(0, 3000, 700)]), 6)
+    assert np.array_equal(one.weights, two.weights) and one.cut == two.cut and one.slope == two.slope
+
+
+def test_every_labelled_document_is_learned_from(spark):
+    """Of more than any bound: the only bad ones are a few among 30,000, wherever their keys fall."""
+    rows = spark.range(30_000).selectExpr("id AS doc_id", "if(id % 3000 < 3, 'BUY *** NOW *** $$$', 'some plain words of prose.') AS text", "int(id % 3000 >= 3) AS quality")
+    model = quality.learn(rows.select("doc_id", "text"), rows.select("doc_id", "quality"))
+    learned = [k for k in range(30_000) if zlib.crc32(str(k).encode()) % 5]
+    assert len(learned) > 20_000 and model.quantile == pytest.approx(sum(k % 3000 < 3 for k in learned) / len(learned), abs=1e-9)
