@@ -146,3 +146,22 @@ def test_every_labelled_document_is_learned_from(spark):
     model = quality.learn(rows.select("doc_id", "text"), rows.select("doc_id", "quality"))
     learned = [k for k in range(30_000) if zlib.crc32(str(k).encode()) % 5]
     assert len(learned) > 20_000 and model.quantile == pytest.approx(sum(k % 3000 < 3 for k in learned) / len(learned), abs=1e-9)
+
+
+def test_the_driver_splits_bags_text_by_text(spark, monkeypatch):
+    """All pieces of all texts at once, before equal ones are made one, take more of its memory than the fit."""
+    docs, labels, _ = docs_and_labels(spark, "toxic")
+    seen = {}
+    whole = toxicity.fit
+
+    def fit(texts, marks, sentences):
+        seen["lazy"] = iter(sentences) is sentences
+        own = list(sentences)
+        seen["bags"] = [[tuple(b) for b in doc] for doc in own] == [list(dict.fromkeys(b for b in map(toxicity.bag, toxicity.SENTENCES.split(t)) if b)) for t in texts]
+        return whole(texts, marks, sentences=iter(own))
+
+    monkeypatch.setattr(toxicity, "fit", fit)
+    model = toxicity.learn(docs, labels)
+    assert seen == {"lazy": True, "bags": True}
+    words = ["".join(random.Random(k).choice("abc") for _ in range(1 + k % 20)) for k in range(toxicity.AT_ONCE + 50)]
+    assert np.array_equal(model.decide(words)[-50:], model.decide(words[-50:]))

@@ -14,19 +14,21 @@ table over the features: a unit is scored in time that its own subsequences take
 from __future__ import annotations
 
 import functools
+import gc
 import re
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import _libc_trim, settle
 from .labelled import held_out, sampled
 
 #: Labelled documents to learn from, at most.
@@ -48,6 +50,8 @@ LONGEST = 16
 TOXIC = 0.5
 #: Commonest words of clean sentences that are known as such.
 KNOWN = 200_000
+#: Units that are cut into pieces and decided at once.
+AT_ONCE = 8192
 #: Units whose scores a Python worker remembers.
 REMEMBER = 300_000
 #: Single characters apart from each other, as in a spaced-out word.
@@ -188,6 +192,8 @@ class Model:
 
     def decide(self, words: list[str]) -> np.ndarray:
         """The machine's decision value of each unit; of a long one, that of its worst piece."""
+        if len(words) > AT_ONCE:
+            return np.concatenate([self.decide(words[at : at + AT_ONCE]) for at in range(0, len(words), AT_ONCE)])
         pieces = [_pieces(w) for w in words]
         flat = [p for ps in pieces for p in ps]
         values = np.empty(len(flat))
@@ -261,18 +267,21 @@ def bag(sentence: str) -> tuple[str, ...]:
     return tuple(sorted({p for u in units(sentence) for p in _pieces(u)}))
 
 
-def fit(texts: list[str], labels: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 3, sentences: list[list[list[str]]] | None = None) -> Model:
+def fit(texts: list[str], labels: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 3, sentences: Iterable[list[list[str]]] | None = None) -> Model:
     """From labelled documents, by their sentences, which have the labels of their documents; equal sentences count
     once, and as clean if they stand in a clean document.
 
-    sentences: the bag() of each sentence of each text, where they are known. Without both labels, every document
+    sentences: the bag() of each sentence of each text, where they are known; gone over once. Without both labels, every document
     scores 0.
     """
     none = Model(np.zeros(CLASSES**3, dtype=np.float32), 0.0, 1.0, np.inf)
     if sentences is None:
-        sentences = [[bag(s) for s in SENTENCES.split(t)] for t in texts]
-    same: dict[str, str] = {}
-    own = [[b for b in (tuple(same.setdefault(p, p) for p in s) for s in doc) if b] for doc in sentences]
+        sentences = ([bag(s) for s in SENTENCES.split(t)] for t in texts)
+    # Equal pieces and equal bags are one object each.
+    same: dict = {}
+    once = same.setdefault
+    own = [[once(b, b) for b in (tuple(once(p, p) for p in s) for s in doc) if b] for doc in sentences]
+    del same, once
     known = [k for k, doc in enumerate(own) if doc]
     texts, labels, own = [texts[k] for k in known], np.array([int(labels[k]) for k in known]), [own[k] for k in known]
     if not len(labels) or labels.sum() in (0, len(labels)):
@@ -358,6 +367,14 @@ def platt(value: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(slope), shift
 
 
+def _give_back() -> None:
+    """What the driver has freed goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := _libc_trim():
+        trim(0)
+
+
 def learn(docs: DataFrame, labels: DataFrame, most: int = LEARN_FROM, text: str = "text", key: str = "doc_id") -> Model:
     """From at most `most` labelled documents that are not held out; they and the bags of their sentences go to the
     driver."""
@@ -370,10 +387,16 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LEARN_FROM, text: str
 
     rows = sampled(docs, labels, "toxic", most, text, key).mapInPandas(told, "label int, text string, bags string").toPandas()
     rows = rows.drop_duplicates(["label", "bags"]).sort_values(["label", "bags", "text"])
-    sentences = [[s.split(" ") for s in x.split("\n") if s] for x in rows["bags"]]
-    texts, labels = rows["text"].tolist(), rows["label"].to_numpy()
+    texts, labels, told = rows["text"].tolist(), rows["label"].to_numpy(), rows["bags"].tolist()[::-1]
     del rows
-    return fit(texts, labels, sentences=sentences)
+    _give_back()
+
+    def sentences() -> Iterator[list[list[str]]]:
+        # Text by text, as millions of pieces would take the driver's memory before fit() has each of them once.
+        while told:
+            yield [s.split(" ") for s in told.pop().split("\n") if s]
+
+    return fit(texts, labels, sentences=sentences())
 
 
 _seen: dict[str, float] = {}
