@@ -179,3 +179,26 @@ def test_marks_differ_in_no_more_than_the_sets_do():
         for a, b in combinations(range(4), 2):
             bits = sum(int(k).bit_count() for k in (marks[a] ^ marks[b]).view(np.uint64))
             assert bits <= len(set(sets[a].tolist()) ^ set(sets[b].tolist()))
+
+
+def test_leftover_pairs_are_few_and_made_once(spark):
+    """Long lines that hold the same passage, most pairs similar just below 0.8."""
+    rng = random.Random(8)
+    say = lambda: "".join(rng.choice("abcdefghiklmnoprstuv") for _ in range(6))
+    passage, lines = [say() for _ in range(110)], []
+    for k in range(60):
+        words = list(passage)
+        for at in rng.sample(range(110), 2 if k < 6 else 4):
+            words[at] = say()
+        lines.append(" ".join(words))
+    sets = [{x[k : k + 8] for k in range(len(x) - 7)} for x in lines]
+    alike = {p: len(sets[p[0]] & sets[p[1]]) / len(sets[p[0]] | sets[p[1]]) for p in combinations(range(60), 2)}
+    want = {p for p, j in alike.items() if j >= 0.8}
+    assert want and sum(0.7 <= j < 0.79 for j in alike.values()) > 1000
+    split = spark.createDataFrame([(1, k, k, 60) for k in range(60)], "key long, id long, part long, rows long")
+    bodies = spark.createDataFrame(list(enumerate(lines)), "id long, body string")
+    like = similar.Similarity(lambda pairs: pairs, lambda: bodies, line_dedup.shingles, 0.8)
+    got = [(r.a, r.b) for r in similar._rest(split, like).collect()]
+    assert len(got) == len(set(got)) and want <= set(got) and 2 * len(got) < len(alike)
+    shared = [(r.a, r.b) for r in similar._shared(similar._rarest(split, like), 0.8).collect()]
+    assert want <= set(shared) and len(shared) < 2 * len(set(shared))

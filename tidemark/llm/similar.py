@@ -24,10 +24,12 @@ FLUSH, CROWD = 1 << 18, 64
 #: Bins in which the frequencies of shingles are counted, to compare the rarest ones first: two tables, of which the
 #: lesser count holds. A table has BINS / 2.
 BINS, BLOCKS = 1 << 23, 64
-#: The level, see _rest(), of a shingle that was counted once.
+#: The level, see _rarest(), of a shingle that was counted once.
 ONCE = 8
 #: Longs of a set's marks, see _marks().
-MARKS = 4
+MARKS = 32
+#: Shingles sent before each one of a set's rarest, see _shared().
+BEFORE = 2
 #: Links that one task contracts at once, 16 bytes each.
 PER_TASK = 1_000_000
 _U = np.uint64
@@ -272,16 +274,51 @@ def _edges(parts: DataFrame) -> DataFrame:
 
 
 def _rest(split: DataFrame, like: Similarity) -> DataFrame:
-    """The pairs (a, b), written, of ids of different components that can be similar, by prefix filtering.
+    """The pairs (a, b), written, of ids of different components that can be similar: those that share one of their
+    rarest shingles, see _rarest(), in a place that allows it, and whose marks don't differ too much.
+
+    Two sets may differ in (1 - least) / (1 + least) of n + m shingles, and differ in no fewer than in marks. Marks
+    are looked up for pairs, as they are too wide to be sent with every shingle.
+    """
+    first, least = _rarest(split, like), like.least
+    pairs = written(_shared(first, least).distinct(), "shared")
+    both = with_texts(pairs, first.select("id", F.struct("n", "varied", "marks").alias("body")))
+    differ = sum((F.bit_count(F.col("text_a.marks")[k].bitwiseXOR(F.col("text_b.marks")[k])) for k in range(MARKS)), F.lit(0))
+    close = differ <= (1 - least) / (1 + least) * (F.col("text_a.n") + F.col("text_b.n")) + 1e-6
+    return written(both.filter(F.col("text_a.varied") | F.col("text_b.varied") | close).select("a", "b"), "rest")
+
+
+def _shared(first: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of different components that share a shingle of those that _rarest() gives, hardly any of them
+    repeatedly: a shingle gives no pair that also shares one of the BEFORE ones ahead of it in both sets. The first
+    shingle that a pair shares always gives it."""
+    ahead = [f"before{k}" for k in range(1, BEFORE + 1)]
+    y = first.select("id", "part", "outside", "n", "varied", F.inline("first"))
+    x = first.filter("outside").select("id", "part", "n", "varied", F.inline("first"))
+    y = y.select("token", *[F.col(c).alias(f"{c}_2") for c in y.columns if c != "token"])
+    shares = F.least(F.col("n") - F.col("place"), F.col("n_2") - F.col("place_2")) + 1 >= least / (1 + least) * (F.col("n") + F.col("n_2")) - 1e-6
+    lengths = F.least("n", "n_2") >= least * F.greatest("n", "n_2") - 1e-6
+    weighted = (F.col("varied") | F.col("varied_2")) & (F.greatest("mass", "mass_2") <= 1 - least + 1e-5)
+    once = ~F.col("outside_2") | (F.col("id") < F.col("id_2"))
+    again = F.lit(False)
+    for a in ahead:
+        for b in ahead:
+            again = again | F.coalesce(F.col(a) == F.col(f"{b}_2"), F.lit(False))
+    found = x.join(y, "token").filter((F.col("part") != F.col("part_2")) & once & ((shares & lengths) | weighted) & ~again)
+    return found.select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b"))
+
+
+def _rarest(split: DataFrame, like: Similarity) -> DataFrame:
+    """(id, part, outside, n, varied, marks, first), written, of the ids: first are the rarest shingles, those that
+    prefix filtering needs, in their order.
 
     Two sets of n and m shingles with a Jaccard similarity of `least` share at least least / (1 + least) of n + m. So,
     with all shingles in one order, the first one that they share has at most n - least * n others before it. Of
     weighted shingles, a probability Jaccard similarity of `least` is at most the sum of the lesser shares, so
     shingles of at most 1 - least of all weight stand before it. The order is by frequency, counted in
     bins: common shingles are hardly ever among the first. Any order loses nothing. A bin counts no shingle less often
-    than it stands, so one whose bin has a count of one is shared by no two sets, and isn't sent. Two sets may differ
-    in (1 - least) / (1 + least) of n + m shingles, and differ in no fewer than in marks. One of each pair is outside
-    of a reference component of a key.
+    than it stands, so one whose bin has a count of one is shared by no two sets, and isn't sent. One of each
+    pair is outside of a reference component of a key.
     """
     spark, least, shingles, weighted = split.sparkSession, like.least, like.shingles, like.weighted
     refs = split.groupBy("key", "part").agg(F.count("*").alias("c"), F.first("rows").alias("size")).groupBy("key")
@@ -295,7 +332,7 @@ def _rest(split: DataFrame, like: Similarity) -> DataFrame:
         at = size = 0
         for k, x in enumerate(bodies):
             size += len(x)
-            if size > 200_000 or k - at > 10_000:
+            if size > 200_000 or k - at > 2_000:
                 yield at, k + 1
                 at, size = k + 1, 0
         if at < len(bodies):
@@ -332,9 +369,10 @@ def _rest(split: DataFrame, like: Similarity) -> DataFrame:
     for r in texts.select("body").mapInArrow(counted, "block int, data binary").repartition(BLOCKS, "block").mapInArrow(summed, "block int, data binary").collect():
         levels[r.block * block : (r.block + 1) * block] = np.frombuffer(r.data, dtype=np.uint8)
     sent = spark.sparkContext.broadcast(levels)
-    schema = "id long, part long, outside boolean, n long, varied boolean, marks array<long>, first array<struct<token: long, place: int, mass: float>>"
+    schema = "id long, part long, outside boolean, n long, varied boolean, marks array<long>, first array<struct<token: long, place: int, mass: float, " + ", ".join(f"before{k}: long" for k in range(1, BEFORE + 1)) + ">>"
     schema_names = ["id", "part", "outside", "n", "varied", "marks", "first"]
-    one = pa.list_(pa.struct([("token", pa.int64()), ("place", pa.int32()), ("mass", pa.float32())]))
+    ahead = [f"before{k}" for k in range(1, BEFORE + 1)]
+    one = pa.list_(pa.struct([("token", pa.int64()), ("place", pa.int32()), ("mass", pa.float32()), *[(c, pa.int64()) for c in ahead]]))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
@@ -362,25 +400,19 @@ def _rest(split: DataFrame, like: Similarity) -> DataFrame:
                 # One more than needed, as hashes of equal rank and upper bits may stand in either order.
                 keep = several & ((place <= n[owner] * (1 - least) + 1) | (varied[owner] & (mass <= 1 - least + 1e-6)))
                 ends = np.cumsum(np.bincount(owner[keep], minlength=b - a)).astype(np.int32)
-                flat = pa.StructArray.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(place[keep].astype(np.int32)), pa.array(mass[keep].astype(np.float32))], ["token", "place", "mass"])
+                token, by = h[keep].view(np.int64), owner[keep]
+                before = []
+                for k in range(1, BEFORE + 1):
+                    none = np.ones(len(by), dtype=bool)
+                    none[k:] = by[k:] != by[:-k]
+                    before.append(pa.array(np.roll(token, k), mask=none))
+                flat = pa.StructArray.from_arrays([pa.array(token), pa.array(place[keep].astype(np.int32)), pa.array(mass[keep].astype(np.float32)), *before], ["token", "place", "mass", *ahead])
                 told = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), flat)
                 bits = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * MARKS, pa.int32()), pa.array(marks.ravel()))
                 own = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(2), pa.array(n.astype(np.int64)), pa.array(varied), bits, told.cast(one)], schema_names)
 
-    first = written(texts.select("id", "part", "outside", "body").mapInArrow(prefixes, schema), "prefixes")
-    first = first.select("id", "part", "outside", "n", "varied", *[F.col("marks")[k].alias(f"m{k}") for k in range(MARKS)], "first")
-    y = first.select("id", "part", "outside", "n", "varied", *[f"m{k}" for k in range(MARKS)], F.inline("first"))
-    x = first.filter("outside").select("id", "part", "n", "varied", *[f"m{k}" for k in range(MARKS)], F.inline("first"))
-    y = y.select("token", *[F.col(c).alias(f"{c}2") for c in y.columns if c != "token"])
-    shares = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) + 1 >= least / (1 + least) * (F.col("n") + F.col("n2")) - 1e-6
-    lengths = F.least("n", "n2") >= least * F.greatest("n", "n2") - 1e-6
-    differ = sum((F.bit_count(F.col(f"m{k}").bitwiseXOR(F.col(f"m{k}2"))) for k in range(MARKS)), F.lit(0))
-    close = differ <= (1 - least) / (1 + least) * (F.col("n") + F.col("n2")) + 1e-6
-    weighted = (F.col("varied") | F.col("varied2")) & (F.greatest("mass", "mass2") <= 1 - least + 1e-5)
-    once = ~F.col("outside2") | (F.col("id") < F.col("id2"))
-    found = x.join(y, "token").filter((F.col("part") != F.col("part2")) & once & ((shares & lengths & close) | weighted))
-    return written(found.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct(), "rest")
+    return written(texts.select("id", "part", "outside", "body").mapInArrow(prefixes, schema), "prefixes")
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
